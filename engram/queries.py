@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram import maintenance
+from engram import maintenance, retrieval
 
-_MODULES = (maintenance,)
+_MODULES = (retrieval, maintenance)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintenance.p5_found(spark, sf_dir)
+    return retrieval.search_filtered_text(spark, sf_dir)
 
 
 def queries() -> dict:
