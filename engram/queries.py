@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram import maintenance, retrieval
+from engram import graph, maintenance, retrieval
 
-_MODULES = (retrieval, maintenance)
+_MODULES = (retrieval, graph, maintenance)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
