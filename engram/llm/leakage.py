@@ -1,11 +1,11 @@
 """Evaluation texts leaking into training text: rare n-gram seeds, then Smith-Waterman alignment.
 
 Seeds are word n-grams of the items that are rare in the corpus, plus the rarest
-n-gram of each block of words of an item, whatever its frequency, so that every
-stretch of two blocks holds one. Documents are scanned once for the corpus
-frequencies of the items' n-grams and once for seeds; where a document holds as
-many seeds of an item as the least passage must have blocks, the words around the
-seeds are aligned with the item's. Only the items, a set of stated size read in
+n-grams of each block of words of an item, whatever their frequency, so that every
+stretch of two blocks holds some. Documents are scanned once for the corpus
+frequencies of the items' n-grams and once for seeds; where a document holds
+as many seeds of an item as survive the allowed errors in its least passage, the
+words around the seeds are aligned with the item's. Only the items, a set of stated size read in
 blocks, are sent to the executors; documents never move.
 """
 
@@ -42,12 +42,13 @@ def words(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class LeakParameters:
-    """n: words of a seed. block: words of which the rarest seed is always taken. rare: share of all
+    """n: words of a seed. block: words of which the ``each`` rarest seeds are always taken. rare: share of all
     documents that a seed may occur in to be taken anyway. passage: least share of an item's words.
     identity: least share of the passage's words that are the item's. items: size of a block of items."""
 
     n: int = 3
     block: int = 8
+    each: int = 3
     rare: float = 0.002
     passage: float = 0.4
     identity: float = 0.8
@@ -95,18 +96,24 @@ def _sums(docs: DataFrame, text: str, grams, n: int) -> tuple[int, Counter]:
     return found.pop(-1, 0), Counter(found)
 
 
-def _seeds(items: dict[int, list[str]], df: Counter, ids: dict, documents: int, p: LeakParameters) -> dict:
-    """n-gram -> [(item, position)]."""
+def _seeds(items: dict[int, list[str]], df: Counter, ids: dict, documents: int, p: LeakParameters) -> tuple[dict, dict[int, int]]:
+    """n-gram -> [(item, position)], and how many different seeds of an item a document must hold."""
     seeds: dict[tuple, list[tuple[int, int]]] = {}
+    least: dict[int, int] = {}
     for item, w in items.items():
         grams = _grams(w, p.n)
         often = [df[ids[g]] for g in grams]
         take = {k for k, x in enumerate(often) if x <= p.rare * documents}
         for at in range(0, len(grams), p.block):
-            take.add(min(range(at, min(at + p.block, len(grams))), key=lambda k: (often[k], k)))
+            take.update(sorted(range(at, min(at + p.block, len(grams))), key=lambda k: (often[k], k))[: p.each])
         for k in sorted(take):
             seeds.setdefault(grams[k], []).append((item, k))
-    return seeds
+        # seeds within the poorest passage of the least length; an n-gram survives errors with identity ** n, half of that is asked for
+        inside = max(1, math.ceil(p.passage * len(w)) - p.n + 1)
+        has = np.cumsum([0] + [k in take for k in range(len(grams))])
+        poorest = int((has[inside:] - has[:-inside]).min()) if len(has) > inside else len(take)
+        least[item] = max(1, int(poorest * p.identity**p.n / 2))
+    return seeds, least
 
 
 def _windows(hits: list[tuple[int, int]], size: int, length: int) -> list[tuple[int, int]]:
@@ -141,10 +148,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
             for g in _grams(w, p.n):
                 ids.setdefault(g, len(ids))
         documents, df = _sums(docs, text, ids, p.n)
-        known = spark.sparkContext.broadcast((of, _seeds(of, df, ids, documents, p)))
+        known = spark.sparkContext.broadcast((of, *_seeds(of, df, ids, documents, p)))
 
         def run(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
-            of, seeds = known.value
+            of, seeds, least = known.value
             code: dict[str, int] = {}
             coded = {i: np.array([code.setdefault(x, len(code)) for x in w], dtype=np.int32) for i, w in of.items()}
             for pdf in batches:
@@ -160,8 +167,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
                     numbers = None
                     for item, places in hits.items():
                         a = coded[item]
-                        # as many seeds as the least passage has blocks
-                        if len({at for at, _ in places}) < min(3, max(1, math.ceil(p.passage * len(a) / p.block))):
+                        if len({at for at, _ in places}) < least[item]:
                             continue
                         if numbers is None:
                             numbers = np.array([code.get(x, -1) for x in w], dtype=np.int32)
@@ -172,7 +178,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
                                 best = max(best, ((last - first) / len(a), equal / (last - first)))
                         if best[0]:
                             out.append((doc, item, *best))
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "identity"])
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "identity"])
 
         result = docs.select(doc_id, text).filter(F.col(doc_id).isNotNull()).mapInPandas(run, schema)
         found = result if found is None else found.unionByName(result)

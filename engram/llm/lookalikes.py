@@ -171,7 +171,8 @@ def corpus_counts(texts: DataFrame, column: str = "text") -> dict[str, int]:
         total: Counter = Counter()
         for pdf in batches:
             total.update(count_strings(t for t in pdf[column] if t))
-        yield pd.DataFrame({"s": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"s": list(total), "n": list(total.values())})
 
     sums = texts.select(column).mapInPandas(run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
     counts = {r.s: r.n for r in sums.toLocalIterator()}
@@ -216,6 +217,8 @@ def fingerprints(docs: DataFrame, key: str, text: str, rewriter: Rewriter) -> Da
         digest = lambda t: xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
         for pdf in batches:
             pdf = pdf[pdf[text].notna()]
+            if not len(pdf):
+                continue
             stored = pdf[text].map(digest)
             form = [s if r.plain_ascii and t.isascii() else digest(r(t)) for t, s in zip(pdf[text], stored)]
             yield pd.DataFrame({key: pdf[key], "stored": stored, "form": form})

@@ -40,6 +40,8 @@ def sized(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(tokenizer)
         for pdf in batches:
+            if not len(pdf):
+                continue
             n = [len(e.encode_ordinary(t)) if t else 0 for t in pdf["text"]]
             yield pd.DataFrame({"key": pdf["key"], "source": pdf["source"], "tokens": n})
 
