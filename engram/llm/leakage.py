@@ -1,11 +1,11 @@
 """Evaluation texts leaking into training text: rare n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are word n-grams of the items that are rare in the corpus, plus the rarest
-n-grams of each block of words of an item, whatever their frequency, so that every
-stretch of two blocks holds some. Documents are scanned once for the corpus
-frequencies of the items' n-grams and once for seeds; where a document holds
-as many seeds of an item as survive the allowed errors in its least passage, the
-words around the seeds are aligned with the item's. Only the items, a set of stated size read in
+Seeds are the word n-grams of the items that are rare in the corpus; where a passage
+of an item has too few of these, as when the item leaked very often, its rarest ones
+are taken whatever their frequency. Documents are scanned once for the corpus
+frequencies of the items' n-grams and once for seeds; where a document holds as many
+seeds of an item as survive the allowed errors in its least passage, the words around
+the seeds are aligned with the item's. Only the items, a set of stated size read in
 blocks, are sent to the executors; documents never move.
 """
 
@@ -42,13 +42,12 @@ def words(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class LeakParameters:
-    """n: words of a seed. block: words of which the ``each`` rarest seeds are always taken. rare: share of all
-    documents that a seed may occur in to be taken anyway. passage: least share of an item's words.
+    """n: words of a seed. rare: share of all documents up to which an n-gram counts as rare. enough: seeds
+    that every passage of the least length has at least. passage: least share of an item's words.
     identity: least share of the passage's words that are the item's. items: size of a block of items."""
 
     n: int = 3
-    block: int = 8
-    each: int = 3
+    enough: int = 12
     rare: float = 0.002
     passage: float = 0.4
     identity: float = 0.8
@@ -96,24 +95,30 @@ def _sums(docs: DataFrame, text: str, grams, n: int) -> tuple[int, Counter]:
     return found.pop(-1, 0), Counter(found)
 
 
-def _seeds(items: dict[int, list[str]], df: Counter, ids: dict, documents: int, p: LeakParameters) -> tuple[dict, dict[int, int]]:
-    """n-gram -> [(item, position)], and how many different seeds of an item a document must hold."""
+def _seeds(items: dict[int, list[str]], df: Counter, ids: dict, documents: int, p: LeakParameters) -> tuple[dict, dict[int, int], dict[int, np.ndarray]]:
+    """n-gram -> [(item, position)], how many different seeds of an item a document must hold, and an item's seed positions."""
     seeds: dict[tuple, list[tuple[int, int]]] = {}
     least: dict[int, int] = {}
+    at_: dict[int, np.ndarray] = {}
     for item, w in items.items():
         grams = _grams(w, p.n)
         often = [df[ids[g]] for g in grams]
         take = {k for k, x in enumerate(often) if x <= p.rare * documents}
-        for at in range(0, len(grams), p.block):
-            take.update(sorted(range(at, min(at + p.block, len(grams))), key=lambda k: (often[k], k))[: p.each])
+        # every passage of the least length gets enough seeds, its rarest n-grams, however frequent these are
+        inside = max(1, math.ceil(p.passage * len(w)) - p.n + 1)
+        for at in range(max(1, len(grams) - inside + 1)):
+            span = range(at, min(at + inside, len(grams)))
+            lacks = p.enough - sum(k in take for k in span)
+            if lacks > 0:
+                take.update(sorted((k for k in span if k not in take), key=lambda k: (often[k], k))[:lacks])
         for k in sorted(take):
             seeds.setdefault(grams[k], []).append((item, k))
         # seeds within the poorest passage of the least length; an n-gram survives errors with identity ** n, half of that is asked for
-        inside = max(1, math.ceil(p.passage * len(w)) - p.n + 1)
         has = np.cumsum([0] + [k in take for k in range(len(grams))])
         poorest = int((has[inside:] - has[:-inside]).min()) if len(has) > inside else len(take)
         least[item] = max(1, int(poorest * p.identity**p.n / 2))
-    return seeds, least
+        at_[item] = np.array(sorted(take), dtype=np.int32)
+    return seeds, least, at_
 
 
 def _windows(hits: list[tuple[int, int]], size: int, length: int) -> list[tuple[int, int]]:
@@ -151,7 +156,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
         known = spark.sparkContext.broadcast((of, *_seeds(of, df, ids, documents, p)))
 
         def run(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
-            of, seeds, least = known.value
+            of, seeds, least, seeds_at = known.value
             code: dict[str, int] = {}
             coded = {i: np.array([code.setdefault(x, len(code)) for x in w], dtype=np.int32) for i, w in of.items()}
             for pdf in batches:
@@ -167,14 +172,18 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
                     numbers = None
                     for item, places in hits.items():
                         a = coded[item]
-                        if len({at for at, _ in places}) < least[item]:
+                        held = np.unique([at for at, _ in places])
+                        if len(held) < least[item]:
                             continue
                         if numbers is None:
                             numbers = np.array([code.get(x, -1) for x in w], dtype=np.int32)
                         best = (0.0, 0.0)
                         for low, high in _windows(places, len(a), len(w)):
                             first, last, equal = align(a, numbers[low:high])
-                            if last - first >= p.passage * len(a) and equal >= p.identity * (last - first):
+                            # sentences of one pattern agree in their common words only: rare ones must agree as well
+                            inside = lambda x, first=first, last=last: ((x >= first) & (x <= last - p.n)).sum()
+                            rare_agree = inside(held) >= inside(seeds_at[item]) * p.identity**p.n / 2
+                            if last - first >= p.passage * len(a) and equal >= p.identity * (last - first) and rare_agree:
                                 best = max(best, ((last - first) / len(a), equal / (last - first)))
                         if best[0]:
                             out.append((doc, item, *best))
