@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.functions.text import equals, tokens
+from engram.functions.text import tokens
 
 MAX_QUERY_BYTES, MAX_QUERY_DEPTH, MAX_QUERY_NODES, MAX_QUERY_BRANCHES = 8192, 64, 1024, 512
 
@@ -160,7 +160,7 @@ def postings(docs: DataFrame, key: str, text: str | list[str], analyzer: Analyze
 def _scored(docs: DataFrame, key: str, text: str | list[str], words: list[str], params: Bm25, analyzer: Analyzer) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
     """Documents with their words, and for each query word (it occurs, its score)."""
     rows = _analyzed(docs, key, text, analyzer)
-    tf = {w: F.size(F.filter("words", equals(w))) for w in words}
+    tf = {w: F.size("words") - F.size(F.array_remove("words", F.lit(w))) for w in words}
     counted = rows.select("_key", F.size("words").alias("dl"), *[tf[w].alias(f"tf{i}") for i, w in enumerate(words)])
     sums = counted.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), *[F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("long")), F.lit(0)) for i in range(len(words))]).first()
     n, avg, (k1, b) = sums[0], max(sums[1] / sums[0] if sums[0] else 1.0, 1.0), params.fixed()

@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.runtime import materialize
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int = 60) -> DataFrame:
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            u, v = find(u), find(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    if parent:
+        yield pd.DataFrame({"u": [find(x) for x in parent], "v": list(parent)})
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int = 60, task_edges: int = 200_000) -> DataFrame:
     """(node, component): component is the least node it is connected with.
 
-    Every round is two aggregations by node; no component is gathered in a task.
+    Up to ``task_edges`` edges in all are solved by union-find in one task. Beyond,
+    every round is two aggregations by node and no component is gathered in a task.
     Rows with a null end are no edges; self-loops make a node its own component.
     Raises if ``max_rounds`` (far above log n of any input) does not suffice.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
     nodes = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
     links = materialize(links.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc0")
+    if links.count() <= task_edges:
+        links, max_rounds = links.coalesce(1).mapInPandas(_union_find, links.schema), 0
     before = None
     for i in range(max_rounds):
         # large star: a node hands its larger neighbours to its least neighbour
@@ -34,5 +58,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, max_ro
             break
         before = now
     else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+        if max_rounds:
+            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     return nodes.join(links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))

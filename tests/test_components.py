@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from engram.operators.components import connected_components
 from engram.operators.running import running_sum
 from pyspark.sql import functions as F
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [0, 200_000])
+def test_components(spark, task_edges):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(60)] + [(None, 3), (5, None), (900, 900)]
     parent = {}
@@ -21,7 +24,7 @@ def test_components(spark):
         if a is not None and b is not None:
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
-    found = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"), task_edges=task_edges)
     assert {tuple(r) for r in found.collect()} == {(x, find(x)) for x in list(parent)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
