@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram import graph, maintenance, retrieval
+from engram import graph, maintenance, retrieval, writes
 
-_MODULES = (retrieval, graph, maintenance)
+_MODULES = (retrieval, graph, writes, maintenance)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
