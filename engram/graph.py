@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.operators import belief, history
+from engram.operators import belief, bm25, history
 from engram.operators.hierarchy import CYCLE, hierarchy
 from engram.operators.traverse import walk
 from engram.plans.compile import run
@@ -177,7 +177,15 @@ def capsule_closure(spark: SparkSession, d: str) -> DataFrame:
     return walk(edges.filter("dst not like 'lit%'"), roots, 0, 3).groupBy("start").agg(F.count("*").alias("elements"), F.max("depth").cast("long").alias("depth"))
 
 
-_PLAIN = (as_of_query, as_of_seq, as_of_time, history_element, changes, visible_changes, transaction_lookup, bp_eligibility, bp_score, bp_classify, bp_slot, row_visibility, field_mask, counts, referrers, merge_resolve, capsule_closure)
+def search_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked active concepts of one type by their names: four times the limit is ranked, then filtered."""
+    rows = StoreView(spark, d).rows("CONCEPT").withColumn("written", F.concat_ws("\n", "name", F.array_join("aliases", "\n")))
+    found = bm25.bm25_search(rows, "marine services paper", key="id", text="written", k=80)
+    kept = rows.filter("state = 'active'").filter(F.element_at(F.split("schema_ref", "/"), -1) == "Organization").select("id")
+    return found.join(kept, "id", "left_semi").orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+
+
+_PLAIN = (search_elements, as_of_query, as_of_seq, as_of_time, history_element, changes, visible_changes, transaction_lookup, bp_eligibility, bp_score, bp_classify, bp_slot, row_visibility, field_mask, counts, referrers, merge_resolve, capsule_closure)
 
 
 def queries() -> dict:
@@ -217,6 +225,9 @@ vo AS (SELECT z.target, z.side, coalesce(gr.voice, z.id) AS voice, max(conf) AS
 sc AS (SELECT target, side, 1 - product(1 - conf) AS score, count(*) AS n FROM vo GROUP BY ALL),
 b AS (SELECT g.p AS id, coalesce(max(score) FILTER (side = 's'), 0) AS support, coalesce(max(score) FILTER (side = 'o'), 0) AS opposition, coalesce(max(n) FILTER (side = 's'), 0) AS support_voices, coalesce(max(n) FILTER (side = 'o'), 0) AS opposition_voices FROM g LEFT JOIN sc ON sc.target = g.p GROUP BY g.p),
 bs AS (SELECT *, CASE WHEN support = 0 AND opposition = 0 THEN 'insufficient' WHEN support >= 0.7 AND opposition < 0.3 THEN 'accepted' WHEN opposition >= 0.7 AND support < 0.3 THEN 'rejected' WHEN support >= 0.3 AND opposition >= 0.3 THEN 'contested' ELSE 'uncertain' END AS status FROM b)"""
+_REFERENCES = """rw AS (SELECT id AS s, 'merged_into' AS field, merged_into AS t FROM c WHERE state IN ('active', 'merged') UNION ALL SELECT id, 'proposition', proposition_id FROM a WHERE state = 'active' UNION ALL SELECT id, 'evidence', unnest(evidence_refs) FROM a WHERE state = 'active'
+ UNION ALL SELECT id, 'supersedes', unnest(supersedes) FROM a WHERE state = 'active' UNION ALL SELECT id, 'generated_by', generated_by FROM e WHERE state = 'active' UNION ALL SELECT id, 'inputs', unnest(inputs) FROM x WHERE state = 'active' UNION ALL SELECT id, 'outputs', unnest(output_keys) FROM x WHERE state = 'active'),
+rf AS (SELECT DISTINCT s, field, o FROM (SELECT s, field, CASE WHEN t LIKE '{%' THEN CASE WHEN json_extract_string(t, '$.space') IS NULL THEN coalesce(json_extract_string(t, '$.evidence_id'), json_extract_string(t, '$.id')) END ELSE nullif(t, '') END AS o FROM rw) WHERE o IS NOT NULL)"""
 _PAST = """l AS (SELECT v.space, element, v.seq, version, lower(trim(op)) AS op, "row" AS r FROM element_versions v {join}), m AS (SELECT space, element, max(seq) AS seq FROM l GROUP BY ALL), now_ AS (SELECT DISTINCT l.space, l.element, l.seq FROM l JOIN m USING (space, element, seq) WHERE op <> 'purge' AND r IS NOT NULL)"""
 
 
@@ -236,6 +247,14 @@ def oracle_sql() -> dict[str, str]:
         "bp_classify": f"WITH RECURSIVE {_VIEWS}, {_SCORES} SELECT status, count(*) AS n FROM bs GROUP BY status",
         "bp_slot": f"WITH RECURSIVE {_VIEWS}, {_SCORES} SELECT s AS subject, pred AS predicate, count(*) FILTER (status = 'accepted') AS accepted, max(CASE WHEN status <> 'insufficient' THEN {{'a': support, 'o': o}} END).o AS leading, count(*) FILTER (status = 'accepted') > 1 OR count(*) FILTER (status = 'contested') > 0 AS contested FROM bs JOIN g ON g.p = bs.id WHERE pred = 'status' GROUP BY ALL",
         "bp_query": f"WITH RECURSIVE {_VIEWS}, {_SCORES} SELECT id AS p_id, status AS b_status, round(support, 6) AS b_support_score FROM bs WHERE support > 0.5",
+        "search_elements": _with(
+            r"""w AS (SELECT id, state, type, list_filter(regexp_split_to_array(lower(concat_ws(chr(10), name, array_to_string(aliases, chr(10)))), '[^\p{L}\p{N}]+'), lambda x: octet_length(encode(x)) > 1) AS w FROM c), k AS (SELECT * FROM w WHERE len(w) > 0),
+s AS (SELECT count(*) AS n, greatest(sum(len(w)) / count(*), 1) AS avgdl FROM k), t AS (SELECT id, state, type, len(w) AS dl, q, len(list_filter(w, lambda x: x = q)) AS tf FROM (SELECT *, unnest(['marine', 'services', 'paper']) AS q FROM k)),
+f AS (SELECT q, count(*) FILTER (tf > 0) AS df FROM t GROUP BY q), r AS (SELECT id, state, type, sum(CASE WHEN tf > 0 THEN ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END) AS score FROM t JOIN f USING (q), s GROUP BY ALL HAVING max(tf) > 0 ORDER BY score DESC, id LIMIT 80)
+SELECT id, round(score, 6) AS score FROM r WHERE state = 'active' AND type = 'Organization' ORDER BY r.score DESC, id LIMIT 20"""
+        ).replace("WHERE state = 'active') w AS", "WHERE state = 'active'), w AS"),
+        "capsule_closure": f"WITH RECURSIVE {_VIEWS}, {_REFERENCES}, ed AS (SELECT o AS dst, s AS src FROM rf WHERE field IN ('proposition', 'evidence', 'generated_by', 'inputs') UNION SELECT p, s FROM g UNION SELECT o, p FROM g), w AS (SELECT id AS start, id AS e, 0 AS d FROM c WHERE state = 'archived' UNION SELECT w.start, ed.dst, d + 1 FROM w JOIN ed ON ed.src = w.e WHERE d < 3 AND ed.dst NOT LIKE 'lit%'), m AS (SELECT start, e, min(d) AS d FROM w GROUP BY ALL) SELECT start, count(*) AS elements, max(d) AS depth FROM m GROUP BY start",
+        "referrers": f"WITH {_VIEWS}, {_REFERENCES} SELECT o AS element, field, count(*) AS n FROM rf WHERE field <> 'superseded_by' GROUP BY ALL HAVING count(*) >= 5",
         "row_visibility": _with("SELECT id AS c_id, space AS c_space_id FROM c WHERE state = 'active' AND space IN ('main-desk', 'field-ops') ORDER BY id LIMIT 500"),
         "field_mask": _with("SELECT id AS c_id, NULL AS c_name, NULL AS c_attributes_rank FROM c WHERE state = 'active' AND type = 'Topic'"),
         "counts": _with("SELECT k AS kind, count(*) AS n FROM (SELECT 'concept' AS k, state FROM c UNION ALL SELECT 'proposition', state FROM p UNION ALL SELECT 'assertion', state FROM a UNION ALL SELECT 'evidence', state FROM e UNION ALL SELECT 'activity', state FROM x) WHERE state = 'active' GROUP BY k"),

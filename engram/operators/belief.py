@@ -20,7 +20,7 @@ from engram.operators.components import connected_components
 class Policy:
     """accept and material are the thresholds of a score that decides and of one that matters."""
 
-    id: str = "kip:policy:baseline"
+    id: str = "policy:baseline"
     accept: float = 0.7
     material: float = 0.3
     modes: tuple[str, ...] = ("observed", "stated", "inferred", "imported")
@@ -33,7 +33,7 @@ class Policy:
 
 
 BASELINE = Policy()
-FORECAST = Policy("kip:policy:forecast", modes=("predicted", "inferred"))
+FORECAST = Policy("policy:forecast", modes=("predicted", "inferred"))
 POLICIES = {"baseline": BASELINE, "forecast": FORECAST}
 
 
