@@ -128,17 +128,51 @@ def batch_knn(df: DataFrame, queries: DataFrame, k: int, *, key: str = "_id", ve
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows at length 1; rows without length become zeros."""
+    n = np.sqrt((m * m).sum(1))[:, None]
+    return np.divide(m, n, out=np.zeros_like(m), where=n >= EPSILON)
+
+
+def _top_in_cells(metric: str, k: int, ids: list[int], matrix: np.ndarray, opened: np.ndarray, key: str, vector: str):
+    """Each query's best k of the cells opened for it (queries x cells)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            for cell, rows in pdf.groupby("cell"):
+                asking = np.flatnonzero(opened[:, cell])
+                if not len(asking):
+                    continue
+                d, keys = distances(np.stack(rows[vector].to_numpy()), matrix[asking], metric), rows[key].to_numpy()
+                for q, own in zip(asking.tolist(), d):
+                    had = best.get(q, (np.zeros(0), np.zeros(0, dtype=np.int64)))
+                    all_d, all_k = np.concatenate([had[0], own]), np.concatenate([had[1], keys])
+                    order = np.lexsort((all_k, all_d))[:k]
+                    best[q] = all_d[order], all_k[order]
+        for q, (d, keys) in best.items():
+            yield pd.DataFrame({"query": ids[q], key: keys, "distance": d})
+
+    return run
+
+
 class CellIndex:
-    """Inverted cells: centres are fitted on a bounded sample, every vector is put into its cell."""
+    """Inverted cells: centres are fitted on a bounded sample, every vector is put into its cell.
 
-    def __init__(self, cells: np.ndarray, rows: DataFrame, key: str, vector: str, metric: str):
-        self.cells, self.rows, self.key, self.vector, self.metric = cells, rows, key, vector, metric
+    A search opens the cells next to the query first; their k-th distance then tells
+    which others may hold a nearer vector, by the distance of the cell's centre and
+    its radius, and all of those are opened too. So the result is that of an exact search.
+    """
+
+    def __init__(self, cells: np.ndarray, radius: np.ndarray, rows: DataFrame, key: str, vector: str, metric: str):
+        self.cells, self.radius, self.rows, self.key, self.vector, self.metric = cells, radius, rows, key, vector, metric
 
     @staticmethod
     def build(df: DataFrame, *, key: str = "_id", vector: str = "embedding", metric: str = "euclidean", cells: int = 32, sample: int = 20_000, rounds: int = 10, seed: int = 5) -> CellIndex:
         """:param sample: rows the centres are fitted on (those with the least hash of their key)."""
         rows = df.filter(F.col(vector).isNotNull())
-        fit = np.stack([np.array(r[0], dtype=np.float64) for r in rows.orderBy(F.xxhash64(F.lit(seed), key)).select(vector).limit(sample).collect()])
+        place = _unit if metric == "cosine" else lambda m: m
+        fit = place(np.stack([np.array(r[0], dtype=np.float64) for r in rows.orderBy(F.xxhash64(F.lit(seed), key)).select(vector).limit(sample).collect()]))
         rng = np.random.default_rng(seed)
         centres = fit[rng.choice(len(fit), min(cells, len(fit)), replace=False)]
         for _ in range(rounds):
@@ -148,12 +182,67 @@ class CellIndex:
         def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
-                    yield pdf.assign(cell=distances(np.stack(pdf[vector].to_numpy()), centres, "euclidean").argmin(0).astype(np.int32))
-
-        placed = rows.select(key, vector).mapInPandas(put, f"{key} long, {vector} array<float>, cell int")
-        return CellIndex(centres, materialize(placed, "cells"), key, vector, metric)
+                    d = distances(place(np.stack(pdf[vector].to_numpy()).astype(np.float64)), centres, "euclidean")
+                    yield pdf.assign(cell=d.argmin(0).astype(np.int32), off=d.min(0))
+
+        placed = materialize(rows.select(key, vector).mapInPandas(put, f"{key} long, {vector} array<float>, cell int, off double"), "cells")
+        radius = np.full(len(centres), -np.inf)
+        for r in placed.groupBy("cell").agg(F.max("off").alias("off")).collect():
+            radius[r.cell] = r.off
+        return CellIndex(centres, radius, placed, key, vector, metric)
+
+    def least(self, queries: np.ndarray) -> np.ndarray:
+        """No vector of a cell is nearer to a query than this (queries x cells); empty cells are endlessly far."""
+        if self.metric == "inner_product":
+            out = -(queries @ self.cells.T) - np.sqrt((queries * queries).sum(1))[:, None] * self.radius
+        else:
+            # the Manhattan distance is never below the Euclidean one; unit vectors' cosine distance is half their squared Euclidean one
+            out = np.maximum(0, distances(self.cells, _unit(queries) if self.metric == "cosine" else queries, "euclidean") - self.radius)
+            out = out * out / 2 if self.metric == "cosine" else out
+        return np.where(np.isneginf(self.radius), np.inf, out)
+
+    def _found(self, ids: list[int], matrix: np.ndarray, k: int, opened: np.ndarray) -> DataFrame:
+        rows = self.rows.filter(F.col("cell").isin(np.flatnonzero(opened.any(0)).tolist()))
+        schema = f"query long, {self.key} long, distance double"
+        return rows.mapInPandas(_top_in_cells(self.metric, k, ids, matrix, opened, self.key, self.vector), schema)
+
+    def _block(self, ids: list[int], matrix: np.ndarray, k: int, probes: int) -> DataFrame:
+        least = self.least(matrix)
+        first = np.zeros(least.shape, dtype=bool)
+        np.put_along_axis(first, least.argsort(1, kind="stable")[:, :probes], True, 1)
+        near = materialize(self._found(ids, matrix, k, first), "near")
+        w = Window.partitionBy("query").orderBy("distance", self.key)
+        at = {q: i for i, q in enumerate(ids)}
+        reach = np.full(len(ids), np.inf)  # stays so where the first cells hold fewer than k
+        for r in near.withColumn("n", F.row_number().over(w)).filter(F.col("n") == k).select("query", "distance").collect():
+            reach[at[r.query]] = r.distance
+        slack = 1e-6 * (1 + np.abs(np.where(np.isfinite(reach), reach, 0)))
+        more = ~first & (least <= (reach + slack)[:, None]) & np.isfinite(least)
+        return near.unionByName(self._found(ids, matrix, k, more)) if more.any() else near
+
+    def search_batch(self, queries: DataFrame, k: int, *, probes: int = 8, block: int = 2_000) -> DataFrame:
+        """(query, key, distance, rank) of the k nearest of each query (a table with the same columns), in blocks as in ``batch_knn``."""
+        found, ids, vectors = None, [], []
+
+        def flush() -> None:
+            nonlocal found, ids, vectors
+            if ids:
+                part = self._block(ids, np.array([_valid(v, self.cells.shape[1]) for v in vectors]), k, probes)
+                found, ids, vectors = part if found is None else found.unionByName(part), [], []
+
+        for r in queries.select(self.key, self.vector).filter(F.col(self.vector).isNotNull()).toLocalIterator():
+            ids.append(r[0])
+            vectors.append(r[1])
+            if len(ids) == block:
+                flush()
+        flush()
+        if found is None or k <= 0:
+            return self.rows.sparkSession.createDataFrame([], f"query long, {self.key} long, distance double, rank int")
+        w = Window.partitionBy("query").orderBy("distance", self.key)
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
     def search(self, query: Sequence[float], k: int, probes: int = 8) -> DataFrame:
-        q = np.array(_valid(query, self.cells.shape[1]))
-        near = distances(self.cells, q[None], "euclidean")[0].argsort()[:probes]
-        return knn(self.rows.filter(F.col("cell").isin([int(c) for c in near])), list(q), k, key=self.key, vector=self.vector, metric=self.metric)
+        q = np.array([_valid(query, self.cells.shape[1])])
+        if k <= 0:
+            return self.rows.select(self.key, F.lit(0.0).alias("distance")).limit(0)
+        return self._block([0], q, k, probes).select(self.key, "distance").orderBy("distance", self.key).limit(k)

@@ -178,3 +178,25 @@ def test_fusion(spark, docs):
     assert {r._id: r.score for r in hybrid.rrf(lists, k=-1).collect()} == {1: 1 / 60, 2: 1 / 61 + 1 / 60, 3: 1 / 61}
     assert [r._id for r in hybrid.search(docs, text="beta", filter=Field("_id", Lt(7)), limit=1).collect()] == [0]
     assert hybrid.search(docs).collect() == [] and [r._id for r in hybrid.search(docs, filter=Field("_id", Ge(6))).collect()] == [6, 7]
+
+
+def test_cells_find_what_a_scan_finds(spark, sf):
+    """The registered query with its own setting, on its own table; then all metrics on clustered vectors."""
+    from engram.retrieval import knn_cells
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas().sort_values("vec_id")
+    data, ids = np.stack(rows.embedding.to_numpy()), rows.vec_id.to_numpy()
+    exact = {int(q): {int(ids[i]) for i in np.lexsort((ids, d))[:10]} for q, d in zip(ids[ids % 50 == 0], vectors.distances(data, data[ids % 50 == 0], "euclidean"))}
+    found: dict[int, set[int]] = {}
+    for r in knn_cells(spark, sf).collect():
+        found.setdefault(r.query, set()).add(r.vec_id)
+    assert found.keys() == exact.keys()
+    assert sum(len(found[q] & exact[q]) for q in exact) / (10 * len(exact)) >= 0.9
+
+    rng = np.random.default_rng(2)
+    data = (rng.normal(size=(20, 6))[rng.integers(0, 20, 400)] * 4 + rng.normal(size=(400, 6))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(900, [0.0] * 6)], "_id long, embedding array<float>").cache()
+    for m in vectors.METRICS:
+        index = vectors.CellIndex.build(df, cells=12, metric=m)
+        for r, s in zip(vectors.knn(df, data[3], 9, metric=m).collect(), index.search(data[3], 9, probes=1).collect(), strict=True):
+            assert r._id == s._id and abs(r.distance - s.distance) < 1e-5, m
