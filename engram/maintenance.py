@@ -23,7 +23,7 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendants(hierarchy(parent_links(spark, d), with_path=True))
+    return descendants(hierarchy(parent_links(spark, d), with_path=True, around=True))
 
 
 def _periods(spark: SparkSession, d: str) -> DataFrame:

@@ -107,11 +107,69 @@ def _solve(edges: DataFrame, size: int, with_path: bool, level: int) -> DataFram
     return joined.select(*columns)
 
 
-def hierarchy(edges: DataFrame, node: str | Column = "node", parent: str | Column = "parent", *, with_path: bool = False, fragment_rows: int = 250_000) -> DataFrame:
+def _jumped(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of endless ways to a place on their cycle and the least node met; columns node, parent."""
+    names = np.sort(pdf["node"].to_numpy(dtype=object))
+    index = pd.Index(names)
+    own = index.get_indexer(pd.Index(pdf["node"]))
+    at, least = np.empty(len(names), dtype=np.int64), np.arange(len(names))
+    at[own] = index.get_indexer(pd.Index(pdf["parent"]))
+    for _ in range(max(1, len(names).bit_length())):
+        least, at = np.minimum(least, least[at]), at[at]
+    return pd.DataFrame({"node": names, "at": names[at], "least": names[least]})
+
+
+def _heads(endless: DataFrame, size: int) -> DataFrame:
+    """(head) the least node of every cycle, of (node, parent) whose ways up never end.
+
+    After at least as many steps as there are nodes every node has arrived on its
+    cycle, and every node of a cycle is arrived at. Steps double from round to round.
+    """
+    inner = materialize(endless.join(endless.select(F.col("parent").alias("node")).distinct(), "node", "left_semi"), "inner")
+    count = inner.count()
+    if count <= size:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [b for b in batches if len(b)]
+            if parts:
+                yield _jumped(pd.concat(parts, ignore_index=True))
+
+        jumped = materialize(inner.coalesce(1).mapInPandas(run, "node string, at string, least string"), "jumped")
+    else:
+        jumped = inner.select("node", F.col("parent").alias("at"), F.col("node").alias("least"))
+        for i in range(count.bit_length()):
+            there = jumped.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("least").alias("other"))
+            jumped = materialize(jumped.join(there, "at").select("node", F.col("to").alias("at"), F.least("least", "other").alias("least")), f"jump{i}")
+    return jumped.join(jumped.select(F.col("at").alias("node")).distinct(), "node", "left_semi").filter("node = least").select(F.col("node").alias("head"))
+
+
+def _around(links: DataFrame, tree: DataFrame, size: int) -> DataFrame:
+    """(node, path) of the nodes whose way up never ends: up to their cycle and once round it.
+
+    Every cycle is cut above its head, which makes a forest with the heads as roots;
+    a path of it is carried on above the head up to the first node already met.
+    """
+    endless = materialize(links.join(tree.filter(F.col("root") == CYCLE).select("node"), "node", "left_semi").select("node", "parent"), "endless")
+    heads = materialize(_heads(endless, size), "heads")
+    forest = endless.join(heads.select(F.col("head").alias("node")), "node", "left_anti")
+    below = materialize(hierarchy(forest, with_path=True, fragment_rows=size).select("node", F.col("root").alias("head"), "path"), "below")
+    tops = heads.join(endless.select(F.col("node").alias("head"), F.col("parent").alias("next")), "head")
+    ring = tops.join(below.select(F.col("node").alias("next"), F.col("path").alias("rest")), "next", "left")
+    ring = ring.select("head", F.concat(F.array("next"), F.coalesce("rest", F.array().cast("array<string>"))).alias("ring"))
+    paths = below.unionByName(heads.select(F.col("head").alias("node"), "head", F.array().cast("array<string>").alias("path")))
+    # the ring holds the whole cycle: its first node that was met is where the way enters it
+    met = F.concat(F.array("node"), "path")
+    known = F.array_position("ring", F.element_at(F.array_intersect("ring", met), 1))
+    return paths.join(ring, "head").select("node", F.concat("path", F.slice("ring", F.lit(1), (known - 1).cast("int"))).alias("path"))
+
+
+def hierarchy(edges: DataFrame, node: str | Column = "node", parent: str | Column = "parent", *, with_path: bool = False, around: bool = False, fragment_rows: int = 250_000) -> DataFrame:
     """Path, depth and root of every node that has a parent.
 
     :param edges: one row per link; any further columns are ignored.
     :param with_path: add ``path``, the keys from the parent up to the root.
+    :param around: with paths, give a node whose way up never ends the path up to its
+        cycle and once round it, without the node itself, instead of null.
     :param fragment_rows: nodes that one task may hold.
     :return: node, root, depth[, path]; for a node whose way up never ends root is
         ``(cycle)``, depth -1 and path null. Rows with a null node or parent are no
@@ -122,18 +180,24 @@ def hierarchy(edges: DataFrame, node: str | Column = "node", parent: str | Colum
     links = edges.select(node.cast("string").alias("node"), parent.cast("string").alias("parent")).dropna().groupBy("node").agg(F.min("parent").alias("parent"))
     links = links.select("node", "parent", F.lit(1).cast("long").alias("steps"), F.lit(False).alias("looped"))
     found = _solve(links, fragment_rows, with_path, 0)
-    return found.select(
+    tree = found.select(
         "node",
         F.when(F.col("looped"), F.lit(CYCLE)).otherwise(F.col("parent")).alias("root"),
         F.when(F.col("looped"), F.lit(-1)).otherwise(F.col("steps")).cast("long").alias("depth"),
         *(["path"] if with_path else []),
     )
+    if not (with_path and around):
+        return tree
+    tree = materialize(tree, "tree")
+    turned = _around(links, tree, fragment_rows).withColumnRenamed("path", "_turned")
+    return tree.join(turned, "node", "left").select("node", "root", "depth", F.coalesce("path", "_turned").alias("path"))
 
 
 def descendants(tree: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance) for all pairs of a hierarchy with paths.
 
     Rows are exploded from each node's own path, so no ancestor's descendants ever
-    meet in one task. Nodes on or below a cycle have no path and thus no pairs.
+    meet in one task. Nodes on or below a cycle have pairs if the hierarchy was made
+    with ``around``: each once, at its least distance, and none with themselves.
     """
     return tree.select(F.col("node").alias("descendant"), F.posexplode("path").alias("at", "ancestor")).select("ancestor", "descendant", (F.col("at") + 1).cast("long").alias("distance"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from engram.operators.hierarchy import CYCLE, descendants, hierarchy
+from engram.operators.hierarchy import CYCLE, _heads, descendants, hierarchy
 
 
 def brute(parent: dict[str, str]) -> dict[str, tuple[str, int, list[str] | None]]:
@@ -59,3 +59,25 @@ def test_descendants(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "b"), ("x", "x")], "node string, parent string")
     found = {tuple(r) for r in descendants(hierarchy(df, with_path=True)).collect()}
     assert found == {("b", "a", 1), ("c", "a", 2), ("c", "b", 1), ("b", "d", 1), ("c", "d", 2)}
+
+
+@pytest.mark.parametrize("name", ["loops", "wild"])
+def test_descendants_on_and_below_cycles(spark, name):
+    parent = shapes()[name] | {"x": "y", "y": "z", "z": "w", "w": "z", "self": "self", "under": "self"}
+    expected = set()
+    for node in parent:
+        at, seen = parent[node], [node]
+        while at not in seen:
+            expected.add((at, node, len(seen)))
+            seen.append(at)
+            at = parent.get(at, node)
+    df = spark.createDataFrame(list(parent.items()), "node string, parent string").repartition(4)
+    found = [tuple(r) for r in descendants(hierarchy(df, with_path=True, around=True)).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert {("y", "x", 1), ("z", "x", 2), ("w", "x", 3), ("self", "under", 1)} <= expected
+
+
+@pytest.mark.parametrize("size", [2, 100_000])
+def test_each_cycle_has_one_head(spark, size):
+    links = [("x", "y"), ("y", "z"), ("z", "w"), ("w", "z"), ("self", "self"), ("under", "self"), ("c", "a"), ("a", "b"), ("b", "c"), ("0", "b")]
+    assert sorted(r.head for r in _heads(spark.createDataFrame(links, "node string, parent string"), size).collect()) == ["a", "self", "w"]
