@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engram.functions import text as T
 from engram.operators import bm25, hybrid, paging, vectors
 from engram.operators.filters import AllOf, And, AnyOf, Between, Eq, Field, Ge, Gt, Include, Le, Lt, NoneOf, Not, Or, Prefix, where
+from engram.operators.running import running_sum
 from engram.runtime import table
 
 _QUERY = "policy thermostat greenhouse assertion"
@@ -156,9 +157,23 @@ def rrf(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.rrf([a, b], key="doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 
+def paired(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Documents with a vector each: the tables share no key, so the n vectors are dealt out in order of their ids, by the document's number modulo n.
+
+    All vectors are dealt if the documents' numbers reach all remainders; no document is left out.
+    """
+    rows = rows.select("vec_id", "embedding").filter("embedding is not null")
+    n, low, high = rows.agg(F.count("*"), F.min("vec_id"), F.max("vec_id")).first()
+    if not n:
+        return docs.withColumn("embedding", F.lit(None).cast("array<float>"))
+    bucket = F.floor((F.col("vec_id") - low) / max(1, (high - low + 1) // -(-n // 100_000)))
+    places = running_sum(rows.select("vec_id", F.lit(1).alias("one")), "one", [], bucket, [F.col("vec_id")], "place")
+    dealt = rows.join(places.select("vec_id", (F.col("place") - 1).alias("place")), "vec_id").drop("vec_id")
+    return docs.withColumn("place", F.pmod("doc_id", F.lit(n))).join(dealt, "place", "left").drop("place")
+
+
 def _with_vectors(spark: SparkSession, d: str) -> DataFrame:
-    # the tables share no key: a document takes the vector of its number among the first 500
-    return _docs(spark, d).join(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("doc_id") % 500 == F.col("vec_id")).drop("vec_id")
+    return paired(_docs(spark, d), table(spark, d, "embeddings"))
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:

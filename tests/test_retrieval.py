@@ -200,3 +200,14 @@ def test_cells_find_what_a_scan_finds(spark, sf):
         index = vectors.CellIndex.build(df, cells=12, metric=m)
         for r, s in zip(vectors.knn(df, data[3], 9, metric=m).collect(), index.search(data[3], 9, probes=1).collect(), strict=True):
             assert r._id == s._id and abs(r.distance - s.distance) < 1e-5, m
+
+
+def test_all_vectors_and_documents_are_paired(spark):
+    from engram.retrieval import paired
+
+    some = spark.createDataFrame([(i, "t") for i in range(1, 1501)], "doc_id long, text string")
+    ids = [7 * i - 900 for i in range(700)]
+    rows = spark.createDataFrame([(i, [float(i)]) for i in ids], "vec_id long, embedding array<float>")
+    found = {r.doc_id: int(r.embedding[0]) for r in paired(some, rows).collect()}
+    assert found == {i: ids[i % 700] for i in range(1, 1501)}
+    assert {r.embedding for r in paired(some, rows.limit(0)).collect()} == {None}
