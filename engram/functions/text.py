@@ -52,8 +52,11 @@ def detect_script(text: str | Column) -> Column:
     return F.when(n["Cjk"] > 0, "Cjk").when(F.coalesce(most, F.lit(0)) == 0, "Other").when(n["Latin"] == most, "Latin").when(n["Cyrillic"] == most, "Cyrillic").otherwise("Arabic")
 
 
-def fold_words(text: str | None, most: int = 256, chars: int = 1 << 20) -> list[str]:
-    """Distinct words in order after NFKC, lower case and folds of some letters; runs of CJK become overlapping pairs (no dictionary is at hand)."""
+def fold_words(text: str | None, most: int | None = None, chars: int | None = None) -> list[str]:
+    """Distinct words in order after NFKC, lower case and folds of some letters; runs of CJK become overlapping pairs (no dictionary is at hand).
+
+    For search strings ``most`` words of the first ``chars`` characters can be asked for (256 and 1 Mi in the reference); documents are folded whole.
+    """
     if not text:
         return []
     plain = unicodedata.normalize("NFKC", text[:chars]).lower().translate(str.maketrans("ёأإآىة", "еااايه"))

@@ -211,3 +211,10 @@ def test_all_vectors_and_documents_are_paired(spark):
     found = {r.doc_id: int(r.embedding[0]) for r in paired(some, rows).collect()}
     assert found == {i: ids[i % 700] for i in range(1, 1501)}
     assert {r.embedding for r in paired(some, rows.limit(0)).collect()} == {None}
+
+
+def test_long_documents_are_folded_whole(spark):
+    long = " ".join(f"w{i}" for i in range(400)) + " " * (1 << 20) + "end"
+    df = spark.createDataFrame([(long,)], "text string")
+    assert df.select(T.folded("text").alias("w")).first().w == [*(f"w{i}" for i in range(400)), "end"]
+    assert T.fold_words("a b a c", most=2) == ["a", "b"] and T.fold_words("ab cd", chars=2) == ["ab"]
