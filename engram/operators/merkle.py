@@ -11,7 +11,9 @@ marker last; a run that fails before leaves nothing behind that later runs see.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.runtime import materialize
@@ -21,6 +23,12 @@ LEAF, FAN = 64, 16
 RECORD = ["space", "seq", "element"]
 
 
+def _matched(a: DataFrame, b: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """A semi or anti join in which nulls are equal: a space may be null."""
+    b = b.select(*[F.col(c).alias(f"_b_{c}") for c in columns])
+    return a.join(b, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in columns]), how)
+
+
 def leaf_of(seq) -> F.Column:
     return F.floor(seq / LEAF).cast("long")
 
@@ -64,8 +72,9 @@ def differing_leaves(now: DataFrame, saved: DataFrame | None) -> DataFrame:
         if open_nodes is not None:
             parent = F.floor(F.col("node") / FAN).cast("long")
             above = open_nodes.select("space", F.col("node").alias("up"))
-            a = a.withColumn("up", parent).join(above, ["space", "up"], "left_semi").drop("up")
-        open_nodes = a.join(b, ["space", "node"], "left").filter(~F.col("a").eqNullSafe(F.col("b"))).select("space", "node")
+            a = _matched(a.withColumn("up", parent), above, ["space", "up"], "left_semi").drop("up")
+        same = a.select("space", "node", F.col("a").alias("same"))
+        open_nodes = _matched(same, b.select("space", "node", F.col("b").alias("same")), ["space", "node", "same"], "left_anti").select("space", "node")
     return open_nodes
 
 
@@ -78,9 +87,9 @@ def changed(records: DataFrame, taken: DataFrame | None) -> DataFrame:
         return records.select(*RECORD)
     diff = differing_leaves(build_tree(records), build_tree(taken))
     place = lambda df: df.select(*RECORD, leaf_of(F.col("seq")).alias("node"))
-    mine = place(records).join(diff, ["space", "node"], "left_semi")
-    theirs = place(taken).join(diff, ["space", "node"], "left_semi")
-    return mine.select(*RECORD).join(theirs.select(*RECORD), RECORD, "left_anti")
+    mine = _matched(place(records), diff, ["space", "node"], "left_semi")
+    theirs = _matched(place(taken), diff, ["space", "node"], "left_semi")
+    return _matched(mine.select(*RECORD), theirs, RECORD, "left_anti")
 
 
 def coverage(runs: DataFrame, journal: DataFrame) -> DataFrame:
@@ -133,9 +142,9 @@ class MerkleSync:
         if not last:
             return records, tree
         diff = differing_leaves(tree, self.spark.read.parquet(f"{self.path}/run={last}/tree"))
-        keyed = records.withColumn("node", leaf_of(F.col("seq"))).join(diff, ["space", "node"], "left_semi")
+        keyed = _matched(records.withColumn("node", leaf_of(F.col("seq"))), diff, ["space", "node"], "left_semi")
         done = self.spark.read.parquet(*[f"{self.path}/run={i}/output" for i in range(1, last + 1)])
-        return keyed.join(done.select(*RECORD), RECORD, "left_anti").drop("node"), tree
+        return _matched(keyed, done, RECORD, "left_anti").drop("node"), tree
 
     def publish(self, output: DataFrame, tree: DataFrame) -> int:
         """Write output and tree of the next run; only the marker makes them count."""

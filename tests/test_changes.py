@@ -98,3 +98,14 @@ def test_runs_publish_output_and_tree_together(spark, tmp_path):
     output, tree = sync.pending(make(1100))
     assert {r.seq for r in output.collect()} == set(range(1000, 1100)) and sync.publish(output, tree) == 2
     assert sync.pending(make(1100))[0].count() == 0
+
+
+def test_changes_without_a_space_come_out_once(spark, tmp_path):
+    make = lambda x: spark.createDataFrame(x, "space string, seq long, element string")
+    rows = [(None, i, "e") for i in range(0, 3000, 30)] + [("s", i, "e") for i in range(0, 3000, 30)]
+    for taken in ([], rows[100:], rows[:40], rows):
+        found = [tuple(r) for r in merkle.changed(make(rows), make(taken)).collect()]
+        assert len(found) == len(set(found)) and set(found) == set(rows) - set(taken)
+    sync = merkle.MerkleSync(spark, f"file://{tmp_path}/null")
+    sync.publish(*sync.pending(make(rows[:40])))
+    assert {tuple(r) for r in sync.pending(make(rows))[0].collect()} == set(rows[40:])
