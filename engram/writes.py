@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engram.functions import scalar
 from engram.runtime import scratch_path, table
 from engram.sources.graph_store import GraphStore
+from engram.sources.store import live
 
 
 def update_exprs(spark: SparkSession, d: str) -> DataFrame:
@@ -29,18 +30,35 @@ def kml_archive(spark: SparkSession, d: str) -> DataFrame:
     return g.read("concepts").groupBy("state", F.col("_version").alias("version")).agg(F.count("*").alias("n"))
 
 
-def kml_update(spark: SparkSession, d: str) -> DataFrame:
+def _raised(spark: SparkSession, d: str, limit: int | None) -> DataFrame:
     g = _store(spark, d, "assertions")
-    g.update("assertions", (F.col("stance") == "support") & (F.col("confidence") >= 0), {"confidence": scalar.clamp(scalar.add(F.col("confidence"), 0.25), 0.0, 1.0)}, limit=500)
+    g.update("assertions", (F.col("stance") == "support") & (F.col("confidence") >= 0), {"confidence": scalar.clamp(scalar.add(F.col("confidence"), 0.25), 0.0, 1.0)}, limit=limit)
     return g.read("assertions").filter("_version = 2").select("_id", F.round("confidence", 6).alias("confidence"))
 
 
+def kml_update(spark: SparkSession, d: str) -> DataFrame:
+    return _raised(spark, d, None)
+
+
+def kml_update_limit(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the clause LIMIT 500."""
+    return _raised(spark, d, 500)
+
+
+def named_pairs(assertions: DataFrame) -> DataFrame:
+    """(old, new) of supersessions that either assertion of the two names, whatever its status; both there and no purged stubs."""
+    own = live(assertions)
+    up = own.select(F.col("id").alias("old"), F.explode("superseded_by").alias("new"))
+    down = own.select(F.explode("supersedes").alias("old"), F.col("id").alias("new"))
+    pairs = up.unionByName(down).filter("old <> new").distinct()
+    for side in ("old", "new"):
+        pairs = pairs.join(own.select(F.col("id").alias(side)), side, "left_semi")
+    return pairs.select("old", "new")
+
+
 def kml_supersede(spark: SparkSession, d: str) -> DataFrame:
     g = _store(spark, d, "assertions")
-    live = g.read("assertions").filter("status = 'active' and _id % 2 = 0")
-    there = g.read("assertions").select(F.col("id").alias("new"))
-    pairs = live.select(F.col("id").alias("old"), F.concat(F.lit("A-"), (F.col("_id") + 1).cast("string")).alias("new")).join(there, "new", "left_semi")
-    g.supersede(pairs)
+    g.supersede(named_pairs(g.read("assertions")))
     return g.read("assertions").filter("_version = 2").groupBy("status").agg(F.count("*").alias("n"), F.sum((F.size("superseded_by") > 0).cast("long")).alias("replaced"))
 
 
@@ -52,7 +70,7 @@ def kml_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (update_exprs, kml_archive, kml_update, kml_supersede, kml_as_of)}
+    return {f.__name__: f for f in (update_exprs, kml_archive, kml_update, kml_update_limit, kml_supersede, kml_as_of)}
 
 
 def oracle_sql() -> dict[str, str]:

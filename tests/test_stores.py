@@ -79,3 +79,15 @@ def test_graph(spark, tmp_path):
         g.create("evidence", spark.createDataFrame([("s",)], "space string"))
     with pytest.raises(ValueError):
         scalar.clamp(F.lit(1), 2, 1)
+
+
+def test_updates_and_supersessions_reach_the_whole_table(spark, tmp_path):
+    from engram.writes import kml_update, named_pairs
+
+    (tmp_path / "d").mkdir()
+    rows = [(i, "support", 0.5) for i in range(700)]
+    spark.createDataFrame(rows, "_id long, stance string, confidence double").write.parquet(f"file://{tmp_path}/d/assertions.parquet")
+    assert kml_update(spark, f"file://{tmp_path}/d").count() == 700
+    rows = [("A-1", None, None, ["A-2"]), ("A-2", "active", None, None), ("A-3", "active", ["A-4", "A-3", "A-9"], None), ("A-4", None, None, ["A-8"]), ("A-5", "purged", None, ["A-2"])]
+    df = spark.createDataFrame(rows, "id string, state string, supersedes array<string>, superseded_by array<string>")
+    assert {(r.old, r.new) for r in named_pairs(df).collect()} == {("A-1", "A-2"), ("A-4", "A-3")}
