@@ -6,9 +6,13 @@ slightly shifted position. Segments go into an inverted index (a join key of
 length, segment number and text); the other side looks up its own substrings at
 the admissible shifts; a banded edit distance verifies.
 
-``link_names`` reads each written name into its parts (given name, initials,
-family name; or base name, field and kind of an organisation), joins the parts
-that vary freely with ``segment_join`` and connects records that share an entity.
+``link_names`` compares whole names without regard to the order of their words.
+Every word takes part in the join, in three orders of the words, so that no single
+edit, not even one that moves a word, hides a pair. What the corpus tells of a word,
+the number of different names it stands in, decides whether two similar words
+are one word mistyped (a frequent and a rare one) or two (both frequent). Lists of
+public short forms of given names and of business words are further evidence only:
+they bring a known abbreviation to its long form and are not needed for a link.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from engram.operators.components import connected_components
 from engram.runtime import materialize
 
-# Short forms of given names, titles, legal forms, kinds of organisations and their abbreviations.
+# Public short forms of given names, titles, legal forms, business words and their abbreviations.
 SHORT_FORMS = """
 abby=abigail al=albert alex=alexander sasha=alexander xander=alexander andy=andrew drew=andrew angie=angela annie=anne tony=anthony barb=barbara barbie=barbara
 becky=rebecca ben=benjamin benny=benjamin benji=benjamin bernie=bernard beth=elizabeth betty=elizabeth liz=elizabeth lizzie=elizabeth eliza=elizabeth betsy=elizabeth
@@ -40,10 +45,8 @@ phil=philip ray=raymond ron=ronald ronnie=ronald sally=sarah sam=samuel sammy=sa
 suzy=susan tim=timothy timmy=timothy tom=thomas tommy=thomas tommie=thomas val=valerie vicky=victoria vicki=victoria tori=victoria vic=victor vince=vincent walt=walter wally=walter
 wes=wesley zach=zachary
 """
-GIVEN_NAMES = "yasmin ursula zoltan leonie ines xavier quentin oskar george paul mark laura emma maria jose ahmed fatima igor olga hans ingrid pierre claire carlos lucia marta stefan petra"
 TITLES = "dr mr mrs ms miss prof professor sir dame rev hon herr frau"
-ROLES = ("the vendor", "front desk", "on call", "night shift", "billing", "new contact", "ops lead", "partner")
-LEGAL = "gmbh ag ltd limited inc incorporated corp corporation co company llc plc sa kg group the of and"
+LEGAL = "gmbh ag ltd limited inc incorporated corp corporation co company llc plc sa kg group the and"
 KINDS = """
 associates=assoc assn;brothers=bros;department=dept;engineering=engg eng engr;foundation=fdn found;institute=inst;insurance=ins insur;international=intl int;
 laboratories=labs lab laboratory;logistics=log logist;manufacturing=mfg manuf;services=svcs svc serv service;shipping=shpg ship;systems=sys syst system;
@@ -51,10 +54,12 @@ technologies=tech techs technology;university=univ uni;partners=ptnrs;holdings=h
 """
 
 _SHORT = dict(x.split("=") for x in SHORT_FORMS.split())
-_GIVEN = set(_SHORT.values()) | set(GIVEN_NAMES.split())
 _TITLES, _LEGAL = set(TITLES.split()), set(LEGAL.split())
 _KINDS = {a: k for part in KINDS.replace("\n", "").split(";") if part for k, _, short in [part.partition("=")] for a in [k, *short.split()]}
 
+#: a word in this many different names is an established one; a misspelling is this many times rarer
+ESTABLISHED, RARER = 3, 10
+
 
 def edits(a: str, b: str, most: int) -> int:
     """Edits between two strings, a swap of neighbours counting as one; most + 1 if there are more. Only a band of the table is filled."""
@@ -85,134 +90,172 @@ def fold(text: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").casefold()
 
 
-def _known(token: str, words, least: int = 4) -> str | None:
-    """The word of a vocabulary that a token is, up to one edit for longer tokens."""
-    if token in words:
-        return token
-    if len(token) >= least:
-        for w in words:
-            if len(w) >= least and abs(len(w) - len(token)) <= 1 and edits(token, w, 1) <= 1:
-                return w
-    return None
-
-
-def _given(token: str) -> str | None:
-    if token in _SHORT:
-        return _SHORT[token]
-    if token in _GIVEN:
-        return token
-    near = _known(token, _GIVEN, 4) or _known(token, _SHORT, 5)
-    return _SHORT.get(near, near) if near else None
-
-
-def _parts(text: str) -> list[str]:
-    """Comma-separated parts without what stands in brackets and without roles."""
-    plain = re.sub(r"\([^)]*\)|[?!]", " ", fold(text))
-    parts = [" ".join(p.split()) for p in plain.split(",")]
-    return [p for p in parts if p and p not in ROLES]
+def same_word(a: str, b: str, in_a: int, in_b: int, k: int, person: bool) -> bool:
+    """Whether two different words are likely one, mistyped.
 
-
-def read_person(text: str | None) -> tuple[str, str, str, str] | None:
-    """(given name or '', initial, family name, middle initial or ''), or None if no family name is told."""
-    parts = _parts(text or "")
-    tokens = [[t for t in re.findall(r"[^\W\d_]+", p) if t not in _TITLES] for p in parts]
-    if re.search(r"\d", " ".join(parts)):
-        return None
-    flat = [t for part in tokens for t in part]
-    words = [t for t in flat if len(t) > 1]
-    letters = [t for t in flat if len(t) == 1]
-    if not words:
+    ``in_a``, ``in_b``: in how many different names each stands in the corpus. Two
+    established words are two words. Words with digits and the shortest must be
+    equal. Short words of persons' names differ by slips only (a swap, a doubled
+    letter) unless one of them is far rarer, and names that differ in a last a, e or
+    o are those of two persons.
+    """
+    if a == b:
+        return True
+    least, most = sorted((len(a), len(b)))
+    k = min(k, most // 8 + 1)  # one edit in words of up to seven letters
+    if least < 3 or not (a.isalpha() and b.isalpha()) or edits(a, b, k) > k:
+        return False
+    few, many = sorted((in_a, in_b))
+    rare = many >= RARER * max(1, few)
+    if few >= ESTABLISHED and not rare:
+        return False
+    if person and (a[:-1] == b[:-1] and {a[-1], b[-1]} <= set("aeo") or least < most and (a if len(a) == most else b)[:least] in (a, b) and max(a, b, key=len)[least:] in ("a", "e", "o")):
+        return False
+    if most > 5 or not person and least > 3:
+        return True
+    longer, shorter = max(a, b, key=len), min(a, b, key=len)
+    doubled = any(longer[i] == longer[i - 1] and longer[:i] + longer[i + 1 :] == shorter for i in range(1, len(longer)))
+    swapped = least == most and sorted(a) == sorted(b)
+    return least > 3 and (doubled or swapped) or rare and a[0] == b[0] and a[-1] == b[-1]
+
+
+def same_name(a: list[str], b: list[str], in_a: list[int], in_b: list[int], k: int, person: bool) -> bool:
+    """Whether two lists of words are one name within k edits: every word has a partner, or words were run together."""
+    x, y = dict(zip(a, in_a)), dict(zip(b, in_b))
+    left, right = [t for t in a if t not in y], [t for t in b if t not in x]
+    if len(left) == len(right):
+        if len(left) > 3:
+            return False
+        for order in permutations(right):
+            spent = [edits(t, u, k) for t, u in zip(left, order)]
+            if sum(spent) <= k and all(same_word(t, u, x[t], y[u], k, person) for t, u in zip(left, order)):
+                return True
+        return False
+    # words run together or cut: of one side one word is left, long enough to be told
+    few, many = sorted((left, right), key=len)
+    return len(few) == 1 and len(few[0]) >= 8 and any(edits(few[0], "".join(p), k) <= k for p in permutations(many)) if len(many) <= 3 else False
+
+
+def _initial(words: list[str]) -> str:
+    return "".join(w[0] for w in words)
+
+
+def parse(kind: str, text: str | None) -> list[list[tuple[str, bool]]]:
+    """Parts of a written name in the order they are to be read: lists of (word, written as an acronym).
+
+    Remarks in brackets, titles and legal forms are left out, known short forms and
+    abbreviations written out; what follows a comma or ``of`` stands before it.
+    """
+    plain = re.sub(r"\([^)]*\)|[?!]", " ", "" if text is None else text)
+    if kind != "Person":  # letters with dots are one word
+        plain = re.sub(r"\b(?:\w\.[ ]?){2,}", lambda m: re.sub(r"[. ]", "", m.group()) + " ", plain)
+    shouted = not any(c.islower() for c in plain)
+    out = []
+    for part in plain.split(","):
+        pieces = [part] if kind == "Person" else re.split(r"(?i)\bof\b", part)
+        tokens = []
+        for piece in reversed(pieces):
+            for t in re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", piece)):
+                word = fold(t)
+                if not word or word in (_TITLES if kind == "Person" else _LEGAL):
+                    continue
+                acronym = t.isupper() and t.isalpha() and 2 <= len(t) <= 4 and not shouted
+                tokens.append(((_SHORT if kind == "Person" else _KINDS).get(word, word), acronym))
+        if tokens:
+            out.append(tokens)
+    return out
+
+
+def read(kind: str, words: list[tuple[str, bool, int, int]]) -> tuple[list[str], str, str, str] | None:
+    """(words of a full name, base, initials, middle initial): of a short form only the latter three are set; None if a name tells nothing.
+
+    :param words: in reading order: word, acronym, number of different names it
+        stands in, and of those that add a number only.
+    """
+    letters = [w for w, *_ in words if len(w) == 1 and w.isalpha()] if kind == "Person" else []
+    names = [x for x in words if len(x[0]) > 1 or kind != "Person"]
+    told = [x for x in names if not x[0].isdigit()]
+    if not told:
         return None
-    if len(words) == 1:
-        if _given(words[0]):
+    if len(told) == 1 and len(names) > 1 and told[0][3] >= ESTABLISHED:
+        return None  # one of many that are told apart by a number only
+    if kind != "Person":
+        if len(names) == 2 and names[1][1] and not names[0][1]:
+            return [], names[0][0], names[1][0], ""
+        if len(names) == 1 and any(edits(names[0][0], w, 1) <= 1 for w in _KINDS):
             return None
-        if letters:
-            return "", letters[0], words[0], (letters[1:] or [""])[0]
-        # initial and family name written together
-        return ("", words[0][0], words[0][1:], "") if len(words[0]) > 4 else None
-    names = [_given(t) for t in words]
-    first_part = [t for t in (tokens[0] if len(tokens) > 1 else []) if len(t) > 1]
-    if first_part:
-        family = first_part
-        rest = words[len(first_part) :]
-        given = next((g for g in map(_given, rest) if g), rest[0] if rest else "")
-    elif any(names):
-        at = names.index(next(n for n in names if n)) if not all(names) else 0
-        given, family = names[at], [t for i, t in enumerate(words) if i != at]
-    else:
-        given, family = words[0], words[1:]
-    if not family:
-        return None
-    given = given or ""
-    return given, (given or (letters or [""])[0])[:1], " ".join(family), (letters or [""])[0]
-
-
-def read_organization(text: str | None) -> tuple[str, str, str, str] | None:
-    """(kind, field, base name, initials): of the short form only base name and initials are known."""
-    parts = _parts(re.sub(r"(?i)g\.\s*m\.\s*b\.\s*h\.?", "gmbh", text or ""))
-    upper = re.findall(r"\b[A-Z]{2,4}\b", text or "") if not (text or "").isupper() else []
-    tokens = [t for p in parts for t in re.findall(r"[^\W_]+", p) if t not in _LEGAL]
-    if not tokens or (len(tokens) < 2) or any(t.isdigit() for t in tokens):
-        return None
-    for i, t in enumerate(tokens):
-        near = _known(t, _KINDS, 6)
-        if near:
-            kind, rest, last = _KINDS[near], tokens[:i] + tokens[i + 1 :], i == len(tokens) - 1
-            if len(rest) < 2:
-                return None
-            # the base name stands first if the kind ends the name, else last
-            base, field = (rest[0], rest[1:]) if last else (rest[-1], rest[:-1])
-            return kind, " ".join(field), base, "".join(f[0] for f in field) + kind[0]
-    if len(tokens) == 2 and 2 <= len(tokens[1]) <= 4 and tokens[1].upper() in upper:
-        return "", "", tokens[0], tokens[1]
-    return None
-
-
-def deletions(c: Column) -> Column:
-    """A string and all strings with one character less."""
-    n = F.length(c)
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n)))
-    return F.array_distinct(F.concat(F.array(c), cut))
-
-
-def segment_join(df: DataFrame, text: str, within: list[str], k: int = 1, hot: int = 2_000) -> DataFrame:
-    """All pairs (text_a < text_b) of distinct strings with equal ``within`` columns and at most k edits.
-
-    A swap of neighbouring characters is one edit. Null strings are left out. A
-    segment that more than ``hot`` strings share isn't paired as such: its strings
+        return [x[0] for x in names], "", "", ""
+    if len(names) > 1:
+        return [x[0] for x in names], "", "", (letters or [""])[0]
+    word, _, others, _ = names[0]
+    if letters:
+        return [], word, letters[0], (letters[1:] or [""])[0]
+    if others or word in _SHORT.values():
+        return None  # a bare given or family name
+    # an initial and a family name written together, or a single name
+    return ([], word[1:], word[0], "") if len(word) > 4 else ([], word, "", "")
+
+
+def deletions(c: Column, k: int = 1) -> Column:
+    """A string and all strings with up to k characters less."""
+    def cut(s: Column) -> Column:
+        n = F.length(s)
+        less = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, n)))
+        return F.array_distinct(F.concat(F.array(s), less))
+
+    out = cut(c)
+    for _ in range(k - 1):
+        out = F.array_distinct(F.flatten(F.transform(out, cut)))
+    return out
+
+
+def segment_join(df: DataFrame, text: str, within: list[str], k: int = 1, hot: int = 2_000, *, carry: list[str] = (), queries: DataFrame | None = None) -> DataFrame:
+    """All pairs of strings with equal ``within`` columns and at most k edits.
+
+    A swap of neighbouring characters is one edit. Null strings are left out, rows
+    that agree in all columns count once. Without ``queries`` each pair of different
+    rows comes once, text_a the lesser; with them, a is a row of theirs and b one of
+    ``df``, equal strings included. ``carry`` columns come as ``<name>_a`` and ``<name>_b``.
+
+    A segment that more than ``hot`` strings share isn't paired as such: its strings
     must also share the rest of the string with k characters deleted, which any two
     strings within k edits do; so common prefixes don't pair all with all.
     """
-    s = df.select(*within, F.col(text).alias("s")).filter("s is not null").distinct()
-    n = F.length("s")
-    # cuts of a string of length n into k+1 segments; the second set, one character on, keeps swaps across a border
-    index, probe = [], []
-    for extra in (0, 1):
-        for i in range(k + 1):
-            start = lambda length, i=i, extra=extra: F.floor(length * i / (k + 1)).cast("int") + (extra if i else 0)
-            end = lambda length, i=i, extra=extra: (F.floor(length * (i + 1) / (k + 1)).cast("int") + extra) if i < k else length
-            piece = lambda length, shift, i=i, extra=extra, start=start, end=end: F.struct(F.lit(10 * i + extra).alias("seg"), length.alias("len"), (start(length) + shift).alias("at"), F.when(start(length) + shift >= 0, F.substring("s", start(length) + shift + 1, end(length) - start(length))).alias("piece"))
-            index.append(piece(n, 0))
-            for delta in range(-k, k + 1):  # length of the indexed string less the own
-                for shift in range(max(-i, -delta - (k - i)), min(i, -delta + (k - i)) + 1):
-                    probe.append(piece(n + delta, shift))
-    spread = lambda parts: s.select(*within, "s", F.explode(F.array_distinct(F.array(*parts))).alias("x")).select(*within, "s", "x.*").filter("len > 0 and length(piece) > 0")
-    several = lambda c: deletions(c) if k == 1 else F.array_distinct(F.flatten(F.transform(deletions(c), deletions)))
-    # strings so short that an edit may touch all their segments meet by what is left after k deletions
-    short = s.filter(n <= 3 * k + 2).select(*within, "s", F.lit(-1).alias("seg"), F.lit(0).alias("len"), F.lit(0).alias("at"), F.explode(several(F.col("s"))).alias("piece"))
-    index, probe = spread(index).unionByName(short), spread(probe).unionByName(short)
+    carry, n = list(carry), F.length("s")
+    rows = lambda x: x.select(*within, F.col(text).alias("s"), *carry).filter("s is not null").distinct()
+    # cuts of a string of length n into k+1 segments. A swap across a border spoils two segments, but only of one
+    # set of cuts: of k+1 sets, each a character on, one at least has no swap across a border.
+    # Of a cut: its set and segment; of a look-up, moreover, the indexed string's length less the own and the shift.
+    cuts = [(e, i, 0, 0) for e in range(k + 1) for i in range(k + 1)]
+    shifts = [(e, i, d, x) for e, i, _, _ in cuts for d in range(-k, k + 1) for x in range(max(-i, -d - (k - i)), min(i, -d + (k - i)) + 1)]
+    border = lambda i: F.floor(F.col("len") * i / (k + 1)).cast("int")
+    i, extra = F.col("x.i"), F.col("x.e")
+    start = border(i) + F.when(i > 0, extra).otherwise(0) + F.col("x.x")
+    stop = F.when(i < k, border(i + 1) + extra).otherwise(F.col("len")) + F.col("x.x")
+    # strings so short that k edits may touch all their segments meet by what is left after k deletions
+    brief = 3 * (k + 1) + k
+
+    def spread(s: DataFrame, which: list[tuple]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("eidx", w)]) for w in which]))
+        cut = s.select(*within, "s", *carry, each.alias("x")).withColumn("len", n + F.col("x.d")).withColumn("at", start).filter("len > 0 and at >= 0")
+        cut = cut.select(*within, "s", *carry, (i * 100 + extra).alias("seg"), "len", "at", F.substring(F.col("s"), F.col("at") + 1, stop - F.col("at")).alias("piece")).filter("length(piece) > 0")
+        return cut.unionByName(s.filter(n <= brief).select(*within, "s", *carry, F.lit(-1).alias("seg"), F.lit(0).alias("len"), F.lit(0).alias("at"), F.explode(deletions(F.col("s"), k)).alias("piece")))
+
+    index, probe = spread(rows(df), cuts), spread(rows(df if queries is None else queries), shifts)
     keys = [*within, "seg", "len", "piece"]
     crowded = index.groupBy(*keys).count().filter(F.col("count") > hot).select(*keys, F.lit(True).alias("crowded"))
 
-    def keyed(side: DataFrame) -> DataFrame:
+    def keyed(side: DataFrame, mark: str) -> DataFrame:
         both = side.join(crowded, keys, "left")
         # what is left of the string when the segment is taken out
         rest = F.concat(F.substring(F.col("s"), F.lit(1), F.col("at")), F.lit("|"), F.substring(F.col("s"), F.col("at") + F.length("piece") + 1, n))
-        return both.withColumn("rest", F.explode(F.when(F.col("crowded") & (F.col("seg") >= 0), several(rest)).otherwise(F.array(F.lit(""))))).drop("crowded", "at")
+        return both.select(*keys, F.explode(F.when(F.col("crowded") & (F.col("seg") >= 0), deletions(rest, k)).otherwise(F.array(F.lit("")))).alias("rest"), F.col("s").alias("text" + mark), *[F.col(c).alias(c + mark) for c in carry])
 
-    a, b = keyed(probe).withColumnRenamed("s", "text_a"), keyed(index).withColumnRenamed("s", "text_b")
-    pairs = a.join(b, [*keys, "rest"]).filter("text_a <> text_b")
-    pairs = pairs.select(*within, F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b")).distinct()
+    pairs = keyed(probe, "_a").join(keyed(index, "_b"), [*keys, "rest"])
+    if queries is None:
+        pairs = pairs.filter(F.struct("text_a", *[c + "_a" for c in carry]) < F.struct("text_b", *[c + "_b" for c in carry]))
+    pairs = pairs.filter(F.abs(F.length("text_a") - F.length("text_b")) <= k)
+    pairs = pairs.select(*within, "text_a", "text_b", *[c + m for m in ("_a", "_b") for c in carry]).distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -223,81 +266,132 @@ def segment_join(df: DataFrame, text: str, within: list[str], k: int = 1, hot: i
     return pairs.mapInPandas(verify, pairs.schema)
 
 
+def _words_of(mentions: DataFrame) -> DataFrame:
+    """(type, written, part, at, word, acronym) of each distinct mention."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(t, w, p, i, word, acronym) for t, w in zip(pdf["type"], pdf["written"]) for p, part in enumerate(parse(t, w)) for i, (word, acronym) in enumerate(part)]
+            if out:
+                yield pd.DataFrame(out, columns=["type", "written", "part", "at", "word", "acronym"])
+
+    return mentions.select("type", "written").distinct().mapInPandas(run, "type string, written string, part int, at int, word string, acronym boolean")
+
+
+def _stats(words: DataFrame) -> DataFrame:
+    """(type, word, names, numbers): in how many different names of several words a word stands, and how many of these add a number only."""
+    part = words.groupBy("type", "written", "part").agg(F.sort_array(F.collect_set("word")).alias("all"))
+    names = part.filter(F.size("all") > 1).select("type", "all").distinct()
+    number = F.size(F.filter("all", lambda w: ~w.rlike("^[0-9]+$"))) == 1
+    return names.select("type", F.explode("all").alias("word"), number.alias("number")).groupBy("type", "word").agg(F.count("*").alias("names"), F.sum(F.col("number").cast("long")).alias("numbers"))
+
+
+def _generic(mentions: DataFrame, parts: DataFrame) -> DataFrame:
+    """(type, label): names that tell nothing, such as roles.
+
+    They stand alone as a name of records whose other names have no word in common
+    with them or among each other, and their words hardly stand in other names.
+    """
+    own = parts.groupBy("type", "written").agg(F.count("*").alias("n"), F.min("label").alias("label"), F.flatten(F.collect_list("words")).alias("words"), F.max("others").alias("others"))
+    main = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).getField("w")
+    of = mentions.join(own, ["type", "written"]).select("type", "id", F.struct("label", "n", "others", "words", main.alias("main")).alias("x"))
+    names = of.groupBy("type", "id").agg(F.collect_set("x").alias("names")).filter(F.size("names") > 1)
+    each = names.select("type", "names", F.explode("names").alias("x")).filter("x.n = 1")
+    apart = F.filter("names", lambda y: ~F.arrays_overlap(y["words"], F.col("x.words")))
+    seen = each.select("type", F.col("x.label").alias("label"), F.col("x.others").alias("others"), F.explode(F.transform(apart, lambda y: y["main"])).alias("main")).distinct()
+    return seen.groupBy("type", "label").agg(F.count("*").alias("mains"), F.max("others").alias("others")).filter(f"mains > 1 and others * {RARER} <= mains").select("type", "label")
+
+
 def read_mentions(mentions: DataFrame) -> DataFrame:
-    """Parts of each distinct (type, written): full, block, label (given name or kind), field, base, initials, middle (initial)."""
+    """(type, written, words, names, base, initials, middle) of each distinct mention that tells a name; full names have words."""
+    words = materialize(_words_of(mentions), "name_words")
+    stats = _stats(words)
+    known = words.join(stats, ["type", "word"], "left").select("type", "written", "part", F.struct("at", "word", "acronym", F.coalesce("names", F.lit(0)).alias("names"), F.coalesce("numbers", F.lit(0)).alias("numbers")).alias("x"))
+    parts = known.groupBy("type", "written", "part").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    others = F.array_max(F.transform("xs", lambda x: x["names"] - x["numbers"])) - (F.size("words") > 1).cast("long")
+    parts = parts.select("type", "written", "part", "xs", F.col("xs.word").alias("words"), F.array_join("xs.word", " ").alias("label"))
+    parts = materialize(parts.withColumn("others", others), "name_label")
+    left = parts.join(_generic(mentions, parts), ["type", "label"], "left_anti")
+    whole = left.groupBy("type", "written").agg(F.sort_array(F.collect_list(F.struct("part", "xs"))).alias("parts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for type_, written in zip(pdf["type"], pdf["written"]):
-                if type_ == "Person":
-                    p = read_person(written)
-                    if p:
-                        out.append((type_, written, bool(p[0]), p[1], p[0], "", p[2], p[1], p[3]))
-                else:
-                    o = read_organization(written)
-                    if o:
-                        out.append((type_, written, bool(o[0]), o[3][-1:], o[0], o[1], o[2], o[3], ""))
+            for kind, written, found in zip(pdf["type"], pdf["written"], pdf["parts"]):
+                flat = [(x["word"], x["acronym"], x["names"], x["numbers"]) for p in reversed(found) for x in p["xs"]]
+                r = read(kind, flat)
+                if r:
+                    names_of = {w: n for w, _, n, _ in flat}
+                    full = list(dict.fromkeys(r[0]))
+                    out.append((kind, written, full, [names_of[w] for w in full], *r[1:]))
             if out:
-                yield pd.DataFrame(out, columns=["type", "written", "full", "block", "label", "field", "base", "initials", "middle"])
+                yield pd.DataFrame(out, columns=["type", "written", "words", "names", "base", "initials", "middle"])
+
+    return whole.mapInPandas(run, "type string, written string, words array<string>, names array<long>, base string, initials string, middle string")
+
 
-    return mentions.select("type", "written").distinct().mapInPandas(run, "type string, written string, full boolean, block string, label string, field string, base string, initials string, middle string")
+def _close_names(full: DataFrame, k: int) -> DataFrame:
+    """(a, b) nodes of full names that are one name within k edits. Forms: words as written, and sorted from the front and from the back."""
+    mirrored = F.transform(F.array_sort(F.transform("words", F.reverse)), F.reverse)
+    forms = F.array_distinct(F.array(F.array_join("words", ""), F.array_join(F.array_sort("words"), ""), F.array_join(mirrored, "")))
+    known = full.groupBy("type", "node").agg(F.first("words").alias("w"), F.first("names").alias("n"), F.array_distinct(F.flatten(F.collect_set(forms))).alias("forms"))
+    rows = known.select("type", F.explode("forms").alias("form"), F.struct("node", "w", "n").alias("of"))
+    near = segment_join(rows, "form", ["type"], k, carry=["of"]).filter("of_a.node <> of_b.node")
+    near = near.select("type", "of_a", "of_b").dropDuplicates(["of_a", "of_b"])
+
+    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(x["node"], y["node"]) for t, x, y in zip(pdf["type"], pdf["of_a"], pdf["of_b"]) if same_name(list(x["w"]), list(y["w"]), list(x["n"]), list(y["n"]), k, t == "Person")]
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    return near.mapInPandas(agree, "a string, b string")
 
 
 def link_names(names: DataFrame, *, k: int = 1) -> DataFrame:
     """(id, entity) of the records whose names and aliases tell an entity; equal entity: the same one.
 
     :param names: id (long), type (``Person`` or ``Organization``), written. A record
-        has one row for each of its names; rows may repeat. Null, empty and unreadable
-        names (roles, bare given names, numbers) tell nothing. Further columns are ignored.
-
-    Full names agree if given name (short forms and typos resolved) or kind are the
-    same and family or base name, and field, are within k edits each. A short form
-    (initials) belongs to the one entity of that base it fits; if it fits several
-    different ones it links nothing; if it fits none, equal short forms agree.
+        has one row for each of its names; rows may repeat. Null and empty names, and
+        those that tell nothing (roles, bare given or family names, numbers, a bare
+        business word), link nothing. Further columns are ignored.
+    :param k: edits between two spellings of a whole name.
+
+    Full names agree if they have the same words in any order, up to k edits that
+    ``same_word`` takes for slips. A short form (initials) belongs to the one entity
+    of that word it fits; if it fits several different ones it links nothing; if it
+    fits none, equal short forms agree.
     """
     mentions = names.select("id", "type", "written").dropna().distinct()
-    parts = materialize(read_mentions(mentions), "name_parts")
-    node = F.concat_ws("|", F.substring("type", 1, 1), F.when(F.col("full"), "f").otherwise("s"), "base", "label", "field", F.when(~F.col("full"), F.concat_ws("|", "initials", "middle")))
-    parts = parts.withColumn("node", node)
-    told = materialize(mentions.join(parts, ["type", "written"]).select("id", "node").distinct(), "name_told")
-    nodes = materialize(parts.drop("written", "middle").distinct(), "name_nodes")
-
-    near = segment_join(nodes, "base", ["type", "block"], k)
-    both = near.select("type", "block", F.col("text_a").alias("base"), F.col("text_b").alias("other")).unionByName(near.select("type", "block", F.col("text_b").alias("base"), F.col("text_a").alias("other")))
-    same = nodes.select("type", "block", "base").distinct().withColumn("other", F.col("base"))
-    bases = materialize(both.unionByName(same), "name_bases")
-
-    full = nodes.filter("full")
-    keyed = full.select("type", "block", "label", "field", "base", "node", F.explode(deletions(F.col("field"))).alias("cut"))
-    left = keyed.join(bases, ["type", "block", "base"]).select("type", "block", "label", F.col("other").alias("base"), "cut", F.col("node").alias("a"), F.col("field").alias("fa"))
-    links = left.join(keyed.select("type", "block", "label", "base", "cut", F.col("node").alias("b"), F.col("field").alias("fb")), ["type", "block", "label", "base", "cut"])
-    links = links.filter("a < b").select("a", "b", "fa", "fb").distinct()
-
-    def fields_agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = [x == y or edits(x, y, k) <= k for x, y in zip(pdf["fa"], pdf["fb"])]
-            if any(ok):
-                yield pdf.loc[ok, ["a", "b"]]
+    node = F.concat_ws("|", F.substring("type", 1, 1), F.when(F.size("words") > 0, F.array_join(F.array_sort("words"), " ")).otherwise(F.concat_ws("|", F.lit("s"), "base", "initials", "middle")))
+    parts = materialize(read_mentions(mentions).withColumn("full", F.size("words") > 0).withColumn("node", node), "name_parts")
+    told = materialize(mentions.join(parts.select("type", "written", "node", "full"), ["type", "written"]).select("id", "node", "full").distinct(), "name_told")
+    full = parts.filter("full").select("type", "node", "words", "names").distinct()
 
-    links = links.mapInPandas(fields_agree, "a string, b string")
     record = F.concat(F.lit("#"), F.lpad(F.col("id").cast("string"), 20, "0"))
-    whole = told.join(full.select("node"), "node", "left_semi")
-    edges = links.unionByName(whole.select(record.alias("a"), F.col("node").alias("b")))
+    edges = _close_names(full, k).unionByName(told.filter("full").select(record.alias("a"), F.col("node").alias("b")))
     first = materialize(connected_components(edges), "name_entities")
 
     # short forms: one entity fits, several fit (then the middle initial may tell), or none
-    of_full = parts.filter("full").join(first, "node").select("type", "block", F.col("base").alias("other"), "initials", F.explode(F.array_distinct(F.array(F.lit("*"), "middle"))).alias("middle"), "component")
-    fits = of_full.filter("middle <> ''").groupBy("type", "block", "other", "initials", "middle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    short = parts.filter("not full").select("node", "type", "block", "base", "initials", F.explode(F.array_distinct(F.array(F.lit("*"), "middle"))).alias("middle")).distinct().join(bases, ["type", "block", "base"])
-    found = short.join(fits, ["type", "block", "other", "initials", "middle"])
+    initial = lambda w: F.substring(w, 1, 1)
+    person = F.flatten(F.transform("words", lambda w: F.transform(F.array_except("words", F.array(w)), lambda o: F.struct(w.alias("base"), initial(o).alias("initials")))))
+    n = F.size("words")
+    acronym = lambda ws: F.array_join(F.transform(ws, initial), "")
+    organization = F.array(F.struct(F.element_at("words", 1).alias("base"), acronym(F.slice("words", F.lit(2), n)).alias("initials")), F.struct(F.element_at("words", -1).alias("base"), acronym(F.slice("words", F.lit(1), n - 1)).alias("initials")))
+    keyed = parts.filter("full").select("type", "node", "middle", F.explode(F.when(F.col("type") == "Person", person).otherwise(organization)).alias("x")).filter("x.initials <> ''")
+    of_full = keyed.join(first, "node").select("type", F.col("x.base").alias("other"), F.col("x.initials").alias("initials"), F.explode(F.array_distinct(F.array(F.lit("*"), "middle"))).alias("middle"), "component")
+    fits = materialize(of_full.filter("middle <> ''").groupBy("type", "other", "initials", "middle").agg(F.min("component").alias("low"), F.max("component").alias("high")), "name_fits")
+    brief = parts.filter("not full").select("node", "type", "base", "initials", F.explode(F.array_distinct(F.array(F.lit("*"), "middle"))).alias("middle")).distinct()
+    bases = segment_join(fits.select("type", F.col("other").alias("base")), "base", ["type"], k, queries=brief.select("type", "base"))
+    bases = bases.filter("text_a = text_b or least(length(text_a), length(text_b)) > 5").select("type", F.col("text_a").alias("base"), F.col("text_b").alias("other"))
+    found = brief.join(bases, ["type", "base"]).join(fits, ["type", "other", "initials", "middle"])
     exact, by_middle = F.col("other") == F.col("base"), F.col("middle") != "*"
     tiers = [("near", ~by_middle), ("exact", ~by_middle & exact), ("near_middle", by_middle), ("exact_middle", by_middle & exact)]
     fitted = found.groupBy("node").agg(*[x for name, of in tiers for x in (F.min(F.when(of, F.col("low"))).alias(f"{name}_low"), F.max(F.when(of, F.col("high"))).alias(f"{name}_high"))])
     only = lambda name: F.when(F.col(f"{name}_low") == F.col(f"{name}_high"), F.col(f"{name}_low"))
     plain = F.when(F.col("exact_low").isNotNull(), only("exact")).otherwise(only("near"))
     known = fitted.select("node", F.coalesce(plain, only("exact_middle"), only("near_middle")).alias("component"), F.lit(True).alias("seen"))
-    loose = told.join(nodes.filter("not full").select("node"), "node", "left_semi").join(known, "node", "left")
+    loose = told.filter("not full").join(known, "node", "left")
     loose = loose.filter("component is not null or seen is null").select(record.alias("r"), F.coalesce("component", "node").alias("target"))
     ids = first.filter(F.col("node").startswith("#")).select(F.col("node").alias("r"), "component")
     again = loose.join(ids, "r", "left").select(F.coalesce("component", "r").alias("a"), F.col("target").alias("b"))

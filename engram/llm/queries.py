@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import leakage, lookalikes, mixing, names
+from engram.operators.pairs import blocked_join
 from engram.runtime import materialize, table
 
 
@@ -17,8 +18,9 @@ def _written(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     linked = materialize(names.link_names(_written(spark, d)).distinct(), "name_links")
-    a, b = linked.select("entity", F.col("id").alias("concept_a")), linked.select("entity", F.col("id").alias("concept_b"))
-    return a.join(b, "entity").filter("concept_a < concept_b").select("concept_a", "concept_b")
+    several = linked.join(linked.groupBy("entity").agg(F.count("*").alias("n")).filter("n > 1").select("entity"), "entity", "left_semi")
+    pairs = blocked_join(several.select("entity", F.col("id").alias("concept_a")), several.select("entity", F.col("id").alias("concept_b")), ["entity"])
+    return pairs.filter("concept_a < concept_b").select("concept_a", "concept_b")
 
 
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
