@@ -9,9 +9,9 @@ from engram.operators import merkle
 from engram.operators.hierarchy import descendants, hierarchy
 from engram.operators.intervals import merged_intervals
 from engram.operators.orphans import OrphanState, advance, orphans, snapshot
-from engram.runtime import materialize, table
+from engram.runtime import materialize, scratch_path, table
 from engram.sources.store import parent_links, records, references
-from engram.streaming.change_apply import current_rows, reduce_changes
+from engram.streaming.change_apply import ChangeTable, current_rows, reduce_changes
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,14 +63,24 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("source_table", "source_field", "period").agg(F.count("*").alias("orphans"))
 
 
+def _followed(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that exist after the feed was streamed through a table of keyed state, in about four batches of files."""
+    feed, path = table(spark, d, "element_versions"), scratch_path(spark, "followed")
+    state = ChangeTable(spark, f"{path}/state", "element", "seq", "op", "row")
+    files = feed.inputFiles()
+    # as a pattern the path may be one file as well as a folder of files
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", -(-len(files) // 4) or 1).parquet(f"{d}/element_versions.parque[t]")
+    state.follow(stream.select("element", "seq", "op", "row"), f"{path}/checkpoint").awaitTermination()
+    rows = state.current()
+    return current_rows(reduce_changes(feed.limit(0), "element", "seq", "op", "row")) if rows is None else rows
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    state = reduce_changes(table(spark, d, "element_versions"), "element", "seq", "op")
-    return current_rows(state).select(F.col("key").alias("element"), "seq")
+    return _followed(spark, d).select(F.col("key").alias("element"), "seq")
 
 
 def p5_rows(spark: SparkSession, d: str) -> DataFrame:
-    state = reduce_changes(table(spark, d, "element_versions"), "element", "seq", "op", "row")
-    return current_rows(state).select(F.col("key").alias("element"), "seq", F.get_json_object("payload", "$.state").alias("state"), F.get_json_object("payload", "$.name").alias("name"))
+    return _followed(spark, d).select(F.col("key").alias("element"), "seq", F.get_json_object("payload", "$.state").alias("state"), F.get_json_object("payload", "$.name").alias("name"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,8 @@ share of its hottest key, and then merged into the keyed state. A late update
 can't revive a record, and a late create below known updates makes them count.
 
 ``ChangeTable`` writes one version of the state per micro-batch, named by batch
-id. Replaying a batch after a failure rewrites the same version.
+id, in which only the hash buckets that the batch touches are new. Replaying a batch
+after a failure rewrites the same version.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.streaming.keyed_state import BucketedState
+
 STATE = ["key", "last_seq", "born_seq", "gone_seq", "payload"]
 _BLANKS = r"^[\s ​﻿]+|[\s ​﻿]+$"
 
@@ -43,9 +46,9 @@ def reduce_changes(changes: DataFrame, key: str, seq: str, op: str, payload: str
     )
 
 
-def merge_states(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The state after both; commutative, associative and idempotent."""
-    return a.select(*STATE).unionByName(b.select(*STATE)).groupBy("key").agg(
+def _merged(rows: DataFrame, by: list[str]) -> DataFrame:
+    """States of the same key as one: later changes win, whatever the order they came in."""
+    return rows.groupBy(*by).agg(
         F.max("last_seq").alias("last_seq"),
         F.max("born_seq").alias("born_seq"),
         F.max("gone_seq").alias("gone_seq"),
@@ -53,36 +56,30 @@ def merge_states(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def merge_states(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The state after both; commutative, associative and idempotent."""
+    return _merged(a.select(*STATE).unionByName(b.select(*STATE)), ["key"]).select(*STATE)
+
+
 def current_rows(state: DataFrame) -> DataFrame:
     """key, seq, payload of the records that exist: born, and not ended since."""
     return state.filter("born_seq is not null and (gone_seq is null or gone_seq < born_seq)").select("key", F.col("last_seq").alias("seq"), "payload")
 
 
 class ChangeTable:
-    """The state as versions below a folder all executors share."""
-
-    def __init__(self, spark: SparkSession, path: str, key: str, seq: str, op: str, payload: str | None = None):
-        self.spark, self.path, self.columns = spark, path.rstrip("/"), (key, seq, op, payload)
+    """The keyed state as bucketed versions below a folder all executors share, one version a batch."""
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath() for s in fs.listStatus(root)]
-        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    def __init__(self, spark: SparkSession, path: str, key: str, seq: str, op: str, payload: str | None = None, *, buckets: int = 32):
+        self.columns = (key, seq, op, payload)
+        self.table = BucketedState(spark, path, "key string, last_seq long, born_seq long, gone_seq long, payload string", buckets=buckets)
 
     def state(self, version: int | None = None) -> DataFrame | None:
-        """The newest complete version, or the newest up to the given one."""
-        found = [v for v in self._versions() if version is None or v <= version]
-        return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
+        """The newest version, or the newest up to the given one."""
+        return self.table.read(version)
 
     def apply(self, changes: DataFrame, batch_id: int) -> None:
-        """Merge a batch; applying the same batch again gives the same version."""
-        delta = reduce_changes(changes, *self.columns)
-        before = self.state(batch_id - 1)
-        (delta if before is None else merge_states(before, delta)).write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        """Merge a batch into the buckets it touches; applying the same batch again gives the same version."""
+        self.table.update(reduce_changes(changes, *self.columns), _merged, batch_id)
 
     def follow(self, stream: DataFrame, checkpoint: str, **trigger):
         """Start a streaming query that keeps the table."""
