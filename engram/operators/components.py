@@ -38,8 +38,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, max_ro
     Raises if ``max_rounds`` (far above log n of any input) does not suffice.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
-    nodes = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
-    links = materialize(links.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc0")
+    every = materialize(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc0")
+    nodes = every.select(F.col("u").alias("node")).unionByName(every.select(F.col("v").alias("node"))).distinct()
+    links = every.filter("u <> v")
     if links.count() <= task_edges:
         links, max_rounds = links.coalesce(1).mapInPandas(_union_find, links.schema), 0
     before = None
