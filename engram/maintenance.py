@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engram.operators import merkle
 from engram.operators.hierarchy import descendants, hierarchy
 from engram.operators.intervals import merged_intervals
-from engram.operators.orphans import OrphanState, advance, orphans, snapshot
+from engram.operators.orphans import OrphanState
 from engram.runtime import materialize, scratch_path, table
 from engram.sources.store import parent_links, records, references
 from engram.streaming.change_apply import ChangeTable, current_rows, reduce_changes
@@ -38,25 +38,27 @@ def p2_periods(spark: SparkSession, d: str) -> DataFrame:
     return _periods(spark, d).filter("kind = 'period'").select(F.col("key").alias("proposition_id"), "start_us", "end_us")
 
 
-def _orphan_epochs(spark: SparkSession, d: str, *, keep: bool) -> list[OrphanState]:
+def _orphan_state(spark: SparkSession, d: str) -> OrphanState:
     """Two epochs: what was there at the middle of the store's time, then the rest and the deletions."""
     refs, recs = references(spark, d), records(spark, d)
     middle = table(spark, d, "activities").agg(F.expr("timestamp_micros(cast((unix_micros(cast(min(created_at) as timestamp)) + unix_micros(cast(max(created_at) as timestamp))) / 2 as bigint))")).first()[0]
     cut = F.lit(middle) if middle is not None else F.lit(None).cast("timestamp")
     early = F.coalesce(F.col("created_at").cast("timestamp") < cut, F.lit(False))
     event = recs.withColumn("at", F.lit(None).cast("long"))
+    state = OrphanState(spark, scratch_path(spark, "orphans"))
     # a stub tells that its record was there and was deleted: the deletion comes in the second epoch
-    first = advance(None, refs.filter(early), event.filter(early & F.col("alive")))
-    return [first, advance(first, refs.filter(~early), event.filter(~(early & F.col("alive"))), keep=keep)]
+    state.advance(refs.filter(early), event.filter(early & F.col("alive")))
+    state.advance(refs.filter(~early), event.filter(~(early & F.col("alive"))))
+    return state
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphans(_orphan_epochs(spark, d, keep=False)[-1])
+    return _orphan_state(spark, d).orphans()
 
 
 def p3_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    first, last = _orphan_epochs(spark, d, keep=True)
-    return snapshot(first).unionByName(snapshot(last))
+    state = _orphan_state(spark, d)
+    return state.snapshot(1).unionByName(state.snapshot(2))
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -85,9 +87,8 @@ def p5_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     feed, runs, journal = (table(spark, d, n) for n in ("element_versions", "sync_runs", "tx_journal"))
-    changes = materialize(merkle.first_arrivals(feed), "changes")
-    taken = materialize(merkle.taken_by_runs(changes, runs, journal), "taken")
-    return merkle.changed(changes.select(*merkle.RECORD), taken).select("element", "seq")
+    sync = merkle.MerkleSync(spark, scratch_path(spark, "sync"))
+    return merkle.pending_after(sync, materialize(merkle.first_arrivals(feed), "arrivals"), runs, journal).select("element", "seq")
 
 
 def queries() -> dict:
@@ -98,7 +99,7 @@ _LINKS = """
 live_c AS (SELECT 'C-' || _id AS k, nullif(merged_into, '') AS parent FROM concepts WHERE coalesce(state, '') <> 'purged'),
 live_a AS (SELECT 'A-' || _id AS k, supersedes, superseded_by FROM assertions WHERE coalesce(state, '') <> 'purged'),
 raw AS (SELECT k AS node, parent, 0 AS b FROM live_c WHERE parent IS NOT NULL
-  UNION ALL SELECT k, unnest(superseded_by), 0 FROM live_a UNION ALL SELECT unnest(supersedes), k, 1 FROM live_a),
+  UNION ALL SELECT k, unnest(superseded_by), 0 FROM live_a UNION ALL SELECT n, k, 1 FROM (SELECT unnest(supersedes) AS n, k FROM live_a) WHERE n IN (SELECT 'A-' || _id FROM assertions)),
 links AS (SELECT node, arg_min(parent, b || parent) AS parent FROM raw
   WHERE length(node) > 0 AND (parent IN (SELECT k FROM live_c) OR parent IN (SELECT k FROM live_a)) GROUP BY node),
 walk AS (SELECT node, parent AS up, [parent] AS path, parent = node AS looped FROM links
@@ -135,7 +136,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH RECURSIVE {_LINKS} SELECT node, CASE WHEN looped THEN '(cycle)' ELSE up END AS root, CASE WHEN looped THEN -1 ELSE depth END AS depth FROM ends",
         "p1_paths": f"WITH RECURSIVE {_LINKS} SELECT node, CASE WHEN looped THEN '(cycle)' ELSE up END AS root, CASE WHEN looped THEN -1 ELSE depth END AS depth, CASE WHEN NOT looped THEN array_to_string(path, ' > ') END AS path FROM ends",
-        "p1_descendants": f"WITH RECURSIVE {_LINKS} SELECT unnest(path) AS ancestor, node AS descendant, unnest(range(1, depth + 1)) AS distance FROM ends WHERE NOT looped",
+        "p1_descendants": f"WITH RECURSIVE {_LINKS} SELECT unnest(path[1:n]) AS ancestor, node AS descendant, unnest(range(1, n + 1)) AS distance FROM (SELECT *, depth - CASE WHEN looped THEN 1 ELSE 0 END AS n FROM ends)",
         "p2_found": f"{_GAPS} SELECT k AS proposition_id, reach AS gap_start_us, s AS gap_end_us FROM r WHERE s > reach",
         "p2_periods": f"{_GAPS}, n AS (SELECT k, s, e, sum(CASE WHEN s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM r) "
         "SELECT k AS proposition_id, nullif(min(s), -9223372036854775807) AS start_us, nullif(max(e), 9223372036854775807) AS end_us FROM n GROUP BY k, g",

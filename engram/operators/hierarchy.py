@@ -53,12 +53,19 @@ def _contract(pdf: pd.DataFrame, with_path: bool) -> pd.DataFrame:
     return out
 
 
-def _fragments(edges: DataFrame, with_path: bool) -> DataFrame:
-    """Contract every partition by itself."""
+def _fragments(edges: DataFrame, with_path: bool, size: int) -> DataFrame:
+    """Contract every partition by itself, a larger one in fragments of at least ``size`` nodes (and a batch at most more)."""
     schema = "node string, parent string, steps long, looped boolean" + (", path array<string>" if with_path else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
+        parts, rows = [], 0
+        for b in batches:
+            if len(b):
+                parts.append(b)
+                rows += len(b)
+            if rows >= size:
+                yield _contract(pd.concat(parts, ignore_index=True), with_path)
+                parts, rows = [], 0
         if parts:
             yield _contract(pd.concat(parts, ignore_index=True), with_path)
 
@@ -81,7 +88,7 @@ def _placed(edges: DataFrame, count: int, size: int) -> DataFrame:
 
 def _solve(edges: DataFrame, size: int, with_path: bool, level: int) -> DataFrame:
     """(node, parent=root, steps=depth, looped[, path]) for edges placed in partitions."""
-    cut = materialize(_fragments(edges, with_path), f"forest{level}")
+    cut = materialize(_fragments(edges, with_path, size), f"forest{level}")
     entries = cut.select(F.col("parent").alias("node")).distinct()
     quotient = cut.join(entries, "node", "left_semi")
     if level:
@@ -90,7 +97,7 @@ def _solve(edges: DataFrame, size: int, with_path: bool, level: int) -> DataFram
     if not count:
         return cut
     if count <= size:
-        solved = _fragments(quotient.coalesce(1), with_path)
+        solved = _fragments(quotient.coalesce(1), with_path, count + 1)
     else:
         solved = _solve(_placed(quotient, count, size), size, with_path, level + 1)
     above = solved.select(F.col("node").alias("parent"), F.col("parent").alias("root"), F.col("steps").alias("more"), F.col("looped").alias("endless"), *([F.col("path").alias("rest")] if with_path else []))

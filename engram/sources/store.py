@@ -29,13 +29,15 @@ def live(df: DataFrame) -> DataFrame:
 def parent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, parent) of concepts (merged_into) and assertions (superseded), parents with a live row only.
 
-    A child's own statement goes before the one of its successor where they differ.
+    A child's own statement goes before the one of its successor where they differ. A
+    key that only a successor names, without a row of its own, is no node.
     """
     concepts, assertions = table(spark, sf_dir, "concepts"), table(spark, sf_dir, "assertions")
     merged = live(concepts).select(key_of("concepts").alias("node"), present(F.col("merged_into")).alias("parent"), F.lit(0).alias("by"))
     own = live(assertions).select(key_of("assertions").alias("me"), "supersedes", "superseded_by")
     up = own.select(F.col("me").alias("node"), F.explode("superseded_by").alias("parent"), F.lit(0).alias("by"))
     down = own.select(F.explode("supersedes").alias("node"), F.col("me").alias("parent"), F.lit(1).alias("by"))
+    down = down.join(assertions.select(key_of("assertions").alias("node")).distinct(), "node", "left_semi")
     links = merged.unionByName(up).unionByName(down).filter("length(node) > 0 and length(parent) > 0")
     there = live(concepts).select(key_of("concepts").alias("parent")).unionByName(own.select(F.col("me").alias("parent"))).distinct()
     links = links.join(there, "parent", "left_semi")

@@ -79,13 +79,34 @@ def test_only_differing_leaves_are_opened(spark):
     assert diff == {("s", 700 // merkle.LEAF)}
 
 
-def test_ledger_of_runs(spark):
+def test_ledger_of_runs(spark, tmp_path):
     feed_ = spark.createDataFrame([("s", 1, "a", 10), ("s", 2, "a", 30), ("s", 2, "a", 99), ("s", 3, "b", 10), ("s", 4, "b", 10), ("t", 1, "c", 10), (None, 1, "d", 1)], "space string, seq long, element string, arrived_at long")
     runs = spark.createDataFrame([("s", 1, 2, None, 20, "succeeded"), ("s", 1, 9, None, 99, "failed"), ("s", 3, None, "tx3", 20, " Succeeded"), ("t", 1, None, None, 99, "succeeded"), ("s", 4, 4, None, None, "succeeded"), ("s", 4, 2, None, 99, "succeeded"), ("s", 1, 4, None, 99, None)], "space string, from_seq long, to_seq long, last_tx_id string, read_until long, status string")
     journal = spark.createDataFrame([("tx3", 3), ("tx3", 3), ("tx9", None)], "tx_id string, seq long")
     first = merkle.first_arrivals(feed_)
-    left = merkle.changed(first.select(*merkle.RECORD), merkle.taken_by_runs(first, runs, journal))
-    assert {(r.element, r.seq) for r in left.collect() if r.space} == {("a", 2), ("b", 4), ("c", 1)}
+    left = merkle.pending_after(merkle.MerkleSync(spark, f"file://{tmp_path}/m"), first, runs, journal)
+    assert {(r.element, r.seq) for r in left.collect()} == {("a", 2), ("b", 4), ("c", 1), ("d", 1)}
+    none = merkle.pending_after(merkle.MerkleSync(spark, f"file://{tmp_path}/n"), first, runs.limit(0), journal)
+    assert none.count() == 6
+    assert merkle.pending_after(merkle.MerkleSync(spark, f"file://{tmp_path}/e"), first.limit(0), runs, journal).collect() == []
+
+
+def test_ledger_against_every_run(spark, tmp_path):
+    rng = random.Random(7)
+    feed_ = [(rng.choice("st"), rng.randrange(700), f"e{rng.randrange(9)}", rng.randrange(100)) for _ in range(1500)]
+    runs = [(rng.choice("st"), lo := rng.randrange(700), lo + rng.randrange(200), None, rng.randrange(100), rng.choice(["succeeded", "failed"])) for _ in range(14)]
+    first = merkle.first_arrivals(spark.createDataFrame(feed_, "space string, seq long, element string, arrived_at long"))
+    runs_ = spark.createDataFrame(runs, "space string, from_seq long, to_seq long, last_tx_id string, read_until long, status string")
+    left = merkle.pending_after(merkle.MerkleSync(spark, f"file://{tmp_path}/m"), first, runs_, spark.createDataFrame([], "tx_id string, seq long"))
+    taken = {(s, q, e) for s, q, e, at in feed_ for r in runs if r[5] == "succeeded" and r[0] == s and r[1] <= q <= r[2] and at <= r[4]}
+    assert {tuple(r) for r in left.collect()} == {(s, q, e) for s, q, e, _ in feed_} - taken
+
+
+def test_records_whose_content_changed(spark, tmp_path):
+    sync = merkle.MerkleSync(spark, f"file://{tmp_path}/sync", ["row"])
+    make = lambda changed: spark.range(900).select(F.lit("s").alias("space"), F.col("id").alias("seq"), F.lit("e").alias("element"), F.when(F.col("id").isin(changed), "new").otherwise("old").alias("row"))
+    sync.publish(*sync.pending(make([])))
+    assert {r.seq for r in sync.pending(make([5, 700]))[0].collect()} == {5, 700}
 
 
 def test_runs_publish_output_and_tree_together(spark, tmp_path):
@@ -94,7 +115,7 @@ def test_runs_publish_output_and_tree_together(spark, tmp_path):
     output, tree = sync.pending(make(1000))
     assert output.count() == 1000 and sync.publish(output, tree) == 1
     output, tree = sync.pending(make(1100))
-    output.write.parquet(f"file://{tmp_path}/sync/run=2/output")  # a run that fails before its marker
+    output.write.parquet(f"file://{tmp_path}/sync/output/run=2/zone=0")  # a run that fails before its marker
     output, tree = sync.pending(make(1100))
     assert {r.seq for r in output.collect()} == set(range(1000, 1100)) and sync.publish(output, tree) == 2
     assert sync.pending(make(1100))[0].count() == 0
