@@ -2,20 +2,21 @@
 
 Seeds are the word n-grams of the items that are rare in the corpus; where a passage
 of an item has too few of these, as when the item leaked very often, its rarest ones
-are taken whatever their frequency. Documents are scanned once for the corpus
-frequencies of the items' n-grams and once for seeds; where a document holds as many
-seeds of an item as survive the allowed errors in its least passage, the words around
-the seeds are aligned with the item's. Only the items, a set of stated size read in
-blocks, are sent to the executors; documents never move.
+are taken whatever their frequency. Documents are read once: their words become the
+numbers these have in the items, those that hold any n-gram of an item are kept in
+that form, and the n-grams' document counts are summed. Where seeds of an item stand
+on near diagonals, as many as survive the allowed errors in its least passage, the
+words around them are aligned with the item's. Only the items, read in blocks of a
+stated number of bytes, are sent to the executors; documents never move.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,44 +25,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.lookalikes import LOOKALIKES, invisible
+from engram.runtime import materialize
 
-_LATIN = {ord(a): b for source, target in LOOKALIKES.values() for a, b in zip(source, target)}
+_LATIN = {a: b for source, target in LOOKALIKES.values() for a, b in zip(source, target)}
+_LOOK = re.compile("[" + "".join(_LATIN) + "]")
 _WORD = re.compile(r"[^\W_]+")
+_WORD_OR_END = re.compile(r"[^\W_]+|\x00")
 
 
-def words(text: str | None) -> list[str]:
-    """Words without regard to case, accents, punctuation, blanks, look-alike and invisible characters."""
-    if not text:
-        return []
+@functools.lru_cache(maxsize=1)
+def _dropped() -> re.Pattern:
+    """Combining and invisible characters."""
+    codes = [c for c in range(0x300, 0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.combining(chr(c)) or invisible(chr(c)))]
+    runs: list[list[int]] = []
+    for c in [0xAD, *codes]:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]+")
+
+
+def _plain(text: str) -> str:
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_LATIN))
+        latin = lambda t: _LOOK.sub(lambda m: _LATIN[m.group()], t)
+        text = unicodedata.normalize("NFKD", latin(text))
         if not text.isascii():
-            text = "".join(c for c in text if not unicodedata.combining(c) and not invisible(c)).translate(_LATIN)
-    return _WORD.findall(text.casefold())
+            text = latin(_dropped().sub("", text))
+    return text.casefold()
+
+
+def words(text: str | None) -> list[str]:
+    """Words without regard to case, accents, punctuation, blanks, look-alike and invisible characters."""
+    return _WORD.findall(_plain(text)) if text else []
 
 
 @dataclass(frozen=True)
 class LeakParameters:
-    """n: words of a seed. rare: share of all documents up to which an n-gram counts as rare. enough: seeds
-    that every passage of the least length has at least. passage: least share of an item's words.
-    identity: least share of the passage's words that are the item's. items: size of a block of items."""
+    """n: words of a seed (an item of fewer words has one seed, itself). rare: share of all documents up to which
+    an n-gram counts as rare. enough: seeds that every passage of the least length has at least. passage: least
+    share of an item's words. identity: least share of the passage's words that are the item's. block: bytes of
+    items' text that are sent to the executors at once."""
 
     n: int = 3
     enough: int = 12
     rare: float = 0.002
     passage: float = 0.4
     identity: float = 0.8
-    items: int = 20_000
+    block: int = 32 << 20
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment (match 1, other word, added or left-out word -1): first and last item word, equal words."""
     n, m = len(item), len(text)
     table, gap = np.zeros((n + 1, m + 1), dtype=np.int32), np.arange(m + 1, dtype=np.int32)
+    match = np.where(item[:, None] == text[None, :], 1, -1).astype(np.int32)
     for i in range(1, n + 1):
         row = np.maximum(table[i - 1] - 1, 0)
-        row[1:] = np.maximum(row[1:], table[i - 1, :-1] + np.where(text == item[i - 1], 1, -1))
-        table[i] = np.maximum.accumulate(row + gap) - gap
+        np.maximum(row[1:], table[i - 1, :-1] + match[i - 1], out=row[1:])
+        row += gap
+        np.maximum.accumulate(row, out=row)
+        np.subtract(row, gap, out=table[i])
     i, j = divmod(int(table.argmax()), m + 1)
     last, equal = i, 0
     while table[i, j] > 0:
@@ -75,62 +99,141 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return i, last, equal
 
 
-def _grams(w: list[str], n: int) -> list[tuple[str, ...]]:
-    return list(zip(*(w[k:] for k in range(n)))) if len(w) >= n else ([tuple(w)] if w else [])
+def _mixed(codes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the n codes from each place on; places with less than n codes have none."""
+    out = np.zeros(max(0, len(codes) - n + 1), dtype=np.uint64)
+    for k in range(n):
+        x = codes[k : len(codes) - n + 1 + k].astype(np.uint64) + np.uint64(1 + 0x632BE5AB * k)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out = out * np.uint64(0x9E3779B97F4A7C15) + (x ^ (x >> np.uint64(31)))
+    return out
+
+
+class _Items:
+    """A block of items: words as numbers, n-grams as hashes."""
+
+    def __init__(self, texts: Iterable[tuple], p: LeakParameters):
+        self.code: dict[str, int] = {}
+        self.words: list[np.ndarray] = []
+        self.ids: list = []
+        for item, text in texts:
+            w = words(text)
+            if w:
+                self.ids.append(item)
+                self.words.append(np.array([self.code.setdefault(x, len(self.code)) for x in w], dtype=np.int32))
+        self.n = [min(p.n, len(w)) for w in self.words]
+        self.hashes = [_mixed(w, n) for w, n in zip(self.words, self.n)]
+        self.lengths = sorted(set(self.n))
+        self.grams = np.unique(np.concatenate(self.hashes)) if self.hashes else np.zeros(0, dtype=np.uint64)
+
 
+def _numbered(texts: Iterable[str | None], code: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of texts as numbers (-1 for words no item has), and each word's text."""
+    whole = "\x00".join(t.replace("\x00", " ") if t else "" for t in texts)
+    get = code.get
+    found = np.fromiter((-2 if t == "\x00" else get(t, -1) for t in _WORD_OR_END.findall(_plain(whole))), dtype=np.int32)
+    end = found == -2
+    return found[~end], np.cumsum(end)[~end]
 
-def _sums(docs: DataFrame, text: str, grams, n: int) -> tuple[int, Counter]:
-    """Number of documents, and of those that hold each of the items' n-grams."""
-    known = docs.sparkSession.sparkContext.broadcast(grams)
+
+def _found(codes: np.ndarray, of: np.ndarray, known: np.ndarray, lengths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, index of the known hash) of the n-grams within one text that are known."""
+    for n in lengths:
+        if len(codes) < n or not len(known):
+            continue
+        inside = of[n - 1 :] == of[: len(of) - n + 1]
+        for k in range(n):
+            inside &= codes[k : len(codes) - n + 1 + k] >= 0
+        places = np.flatnonzero(inside)
+        h = _mixed(codes, n)[places]
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        yes = known[at] == h
+        yield places[yes], at[yes]
+
+
+def _kept(docs: DataFrame, doc_id: str, text: str, items: _Items) -> DataFrame:
+    """Rows of two kinds: documents that hold an n-gram (doc, codes), and an n-gram's number of documents (gram, df; gram -1 for all)."""
+    known = docs.sparkSession.sparkContext.broadcast((items.code, items.grams, items.lengths))
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, total, number = known.value, Counter(), 0
+        code, grams, lengths = known.value
+        total, number = np.zeros(len(grams), dtype=np.int64), 0
         for pdf in batches:
+            if not len(pdf):
+                continue
             number += len(pdf)
-            for t in pdf[text]:
-                total.update({wanted[g] for g in _grams(words(t), n) if g in wanted})
-        yield pd.DataFrame({"gram": [-1, *total], "df": [number, *total.values()]})
-
-    found = {r.gram: r.df for r in docs.select(text).mapInPandas(run, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()}
-    return found.pop(-1, 0), Counter(found)
-
-
-def _seeds(items: dict[int, list[str]], df: Counter, ids: dict, documents: int, p: LeakParameters) -> tuple[dict, dict[int, int], dict[int, np.ndarray]]:
-    """n-gram -> [(item, position)], how many different seeds of an item a document must hold, and an item's seed positions."""
-    seeds: dict[tuple, list[tuple[int, int]]] = {}
-    least: dict[int, int] = {}
-    at_: dict[int, np.ndarray] = {}
-    for item, w in items.items():
-        grams = _grams(w, p.n)
-        often = [df[ids[g]] for g in grams]
-        take = {k for k, x in enumerate(often) if x <= p.rare * documents}
-        # every passage of the least length gets enough seeds, its rarest n-grams, however frequent these are
-        inside = max(1, math.ceil(p.passage * len(w)) - p.n + 1)
-        for at in range(max(1, len(grams) - inside + 1)):
-            span = range(at, min(at + inside, len(grams)))
-            lacks = p.enough - sum(k in take for k in span)
-            if lacks > 0:
-                take.update(sorted((k for k in span if k not in take), key=lambda k: (often[k], k))[:lacks])
-        for k in sorted(take):
-            seeds.setdefault(grams[k], []).append((item, k))
-        # seeds within the poorest passage of the least length; an n-gram survives errors with identity ** n, half of that is asked for
-        has = np.cumsum([0] + [k in take for k in range(len(grams))])
-        poorest = int((has[inside:] - has[:-inside]).min()) if len(has) > inside else len(take)
-        least[item] = max(1, int(poorest * p.identity**p.n / 2))
-        at_[item] = np.array(sorted(take), dtype=np.int32)
-    return seeds, least, at_
-
-
-def _windows(hits: list[tuple[int, int]], size: int, length: int) -> list[tuple[int, int]]:
-    """Stretches of the text in which an alignment through the hits (item and text position) can lie."""
-    out: list[list[int]] = []
-    for at, j in sorted(hits, key=lambda h: h[1]):
-        low, high = max(0, j - at - size // 2), min(length, j - at + size + size // 2)
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return [tuple(x) for x in out]
+            codes, of = _numbered(pdf[text], code)
+            pairs = [np.stack([of[places], at]) for places, at in _found(codes, of, grams, lengths)]
+            pairs = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
+            total += np.bincount(pairs[1], minlength=len(grams))
+            hold = np.unique(pairs[0])
+            low, high = np.searchsorted(of, hold), np.searchsorted(of, hold, "right")
+            if len(hold):
+                yield pd.DataFrame({"doc": pdf[doc_id].to_numpy()[hold], "codes": [codes[a:b] for a, b in zip(low, high)], "gram": None, "df": None})
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"doc": None, "codes": None, "gram": [-1, *seen.tolist()], "df": [number, *total[seen].tolist()]})
+
+    return docs.select(doc_id, text).filter(F.col(doc_id).isNotNull()).mapInPandas(run, f"doc {kind}, codes array<int>, gram long, df long")
+
+
+class _Seeds:
+    """The seeds of a block of items, sorted by hash."""
+
+    def __init__(self, items: _Items, df: np.ndarray, documents: int, p: LeakParameters):
+        self.words, self.ids, self.n, self.lengths = items.words, items.ids, items.n, items.lengths
+        self.least, self.at = [], []
+        for w, n, h in zip(items.words, items.n, items.hashes):
+            often = df[np.searchsorted(items.grams, h)]
+            take = set(np.flatnonzero(often <= p.rare * documents).tolist())
+            # every passage of the least length gets enough seeds, its rarest n-grams, however frequent these are
+            inside = max(1, math.ceil(p.passage * len(w)) - n + 1)
+            for at in range(max(1, len(h) - inside + 1)):
+                span = range(at, min(at + inside, len(h)))
+                lacks = p.enough - sum(k in take for k in span)
+                if lacks > 0:
+                    take.update(sorted((k for k in span if k not in take), key=lambda k: (often[k], k))[:lacks])
+            # seeds within the poorest passage of the least length; an n-gram survives errors with identity ** n, half of that is asked for
+            has = np.cumsum([0] + [k in take for k in range(len(h))])
+            poorest = int((has[inside:] - has[:-inside]).min()) if len(has) > inside else len(take)
+            self.least.append(max(1, int(poorest * p.identity**n / 2)))
+            self.at.append(np.array(sorted(take), dtype=np.int64))
+        every = np.concatenate([h[a] for h, a in zip(items.hashes, self.at)]) if self.at else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.item = np.concatenate([np.full(len(a), i) for i, a in enumerate(self.at)])[order] if self.at else np.zeros(0, dtype=np.int64)
+        self.place = np.concatenate(self.at)[order] if self.at else np.zeros(0, dtype=np.int64)
+        self.hash, self.first = np.unique(every[order], return_index=True)
+        self.many = np.diff(np.append(self.first, len(every)))
+
+    def hits(self, codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, place in the item, place in all codes) of all seeds that occur, in this order."""
+        parts = [(p, a) for p, a in _found(codes, of, self.hash, self.lengths)]
+        places = np.concatenate([p for p, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
+        at = np.concatenate([a for _, a in parts]) if parts else np.zeros(0, dtype=np.int64)
+        many = self.many[at]
+        where = np.repeat(self.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        item, inside, j = self.item[where], self.place[where], np.repeat(places, many)
+        order = np.lexsort((j - inside, item, of[j]))
+        return of[j][order], item[order], inside[order], j[order]
+
+
+def _bands(at: np.ndarray, j: np.ndarray, size: int, least: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Stretches of a text, of at most twice the item's words, in which an alignment can lie: with the seeds' places.
+
+    Hits come in order of their diagonal (j - at). Errors move a passage's diagonal by
+    at most a quarter of the item, so a band of that width holds all its seeds; bands
+    begin half a width apart and are half a width wider, so each lies whole in one.
+    """
+    diagonal = j - at
+    slack = size // 4 + 2
+    start = 0
+    while start < len(at):
+        stop = int(np.searchsorted(diagonal, diagonal[start] + slack + slack // 2, "right"))
+        held = np.unique(at[start:stop])
+        if len(held) >= least:
+            yield int(diagonal[start]) - slack // 2, int(diagonal[stop - 1]) + size + slack // 2, held
+        start = int(np.searchsorted(diagonal, diagonal[start] + slack // 2, "right"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", parameters: LeakParameters = LeakParameters()) -> DataFrame:
@@ -143,53 +246,49 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
     p, spark = parameters, docs.sparkSession
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, covered double, identity double"
+    items = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).dropna()
+    parts = max(1, math.ceil((items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / p.block))
     found = None
-    parts = max(1, math.ceil(items.count() / p.items))
     for part in range(parts):
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64(item_id), F.lit(parts)) == part)
-        of = {r[0]: w for r in own.select(item_id, text).toLocalIterator() if r[0] is not None and (w := words(r[1]))}
-        ids: dict = {}
-        for w in of.values():
-            for g in _grams(w, p.n):
-                ids.setdefault(g, len(ids))
-        documents, df = _sums(docs, text, ids, p.n)
-        known = spark.sparkContext.broadcast((of, *_seeds(of, df, ids, documents, p)))
+        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)
+        block = _Items(((r.i, r.t) for r in own.toLocalIterator()), p)
+        kept = materialize(_kept(docs, doc_id, text, block), "leak_words")
+        df, documents = np.zeros(len(block.grams), dtype=np.int64), 0
+        for r in kept.filter("gram is not null").groupBy("gram").agg(F.sum("df").alias("df")).toLocalIterator():
+            if r.gram < 0:
+                documents = r.df
+            else:
+                df[r.gram] = r.df
+        known = spark.sparkContext.broadcast(_Seeds(block, df, documents, p))
 
         def run(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
-            of, seeds, least, seeds_at = known.value
-            code: dict[str, int] = {}
-            coded = {i: np.array([code.setdefault(x, len(code)) for x in w], dtype=np.int32) for i, w in of.items()}
+            s = known.value
             for pdf in batches:
+                if not len(pdf):
+                    continue
+                length = np.array([len(c) for c in pdf["codes"]])
+                begin, codes = np.cumsum(length) - length, np.concatenate(pdf["codes"].to_numpy())
+                doc, item, at, j = s.hits(codes, np.repeat(np.arange(len(pdf)), length))
+                cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else []
                 out = []
-                for doc, t in zip(pdf[doc_id], pdf[text]):
-                    w = words(t)
-                    hits: dict[int, list[tuple[int, int]]] = {}
-                    for j, g in enumerate(_grams(w, p.n)):
-                        for item, at in seeds.get(g, ()):
-                            hits.setdefault(item, []).append((at, j))
-                    if not hits:
+                for a, b in zip(cut, np.append(cut[1:], len(doc))):
+                    d, i = doc[a], item[a]
+                    if b - a < s.least[i]:
                         continue
-                    numbers = None
-                    for item, places in hits.items():
-                        a = coded[item]
-                        held = np.unique([at for at, _ in places])
-                        if len(held) < least[item]:
-                            continue
-                        if numbers is None:
-                            numbers = np.array([code.get(x, -1) for x in w], dtype=np.int32)
-                        best = (0.0, 0.0)
-                        for low, high in _windows(places, len(a), len(w)):
-                            first, last, equal = align(a, numbers[low:high])
-                            # sentences of one pattern agree in their common words only: rare ones must agree as well
-                            inside = lambda x, first=first, last=last: ((x >= first) & (x <= last - p.n)).sum()
-                            rare_agree = inside(held) >= inside(seeds_at[item]) * p.identity**p.n / 2
-                            if last - first >= p.passage * len(a) and equal >= p.identity * (last - first) and rare_agree:
-                                best = max(best, ((last - first) / len(a), equal / (last - first)))
-                        if best[0]:
-                            out.append((doc, item, *best))
+                    w, best = s.words[i], (0.0, 0.0)
+                    own_codes = codes[begin[d] : begin[d] + length[d]]
+                    for low, high, held in _bands(at[a:b], j[a:b] - begin[d], len(w), s.least[i]):
+                        first, last, equal = align(w, own_codes[max(0, low) : high])
+                        # sentences of one pattern agree in their common words only: rare ones must agree as well
+                        inside = lambda x, first=first, last=last, n=s.n[i]: ((x >= first) & (x <= last - n)).sum()
+                        rare_agree = inside(held) >= inside(s.at[i]) * p.identity ** s.n[i] / 2
+                        if last - first >= p.passage * len(w) and equal >= p.identity * (last - first) and rare_agree:
+                            best = max(best, ((last - first) / len(w), equal / (last - first)))
+                    if best[0]:
+                        out.append((pdf["doc"].iat[d], s.ids[i], *best))
                 if out:
                     yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "identity"])
 
-        result = docs.select(doc_id, text).filter(F.col(doc_id).isNotNull()).mapInPandas(run, schema)
+        result = kept.filter("doc is not null").select("doc", "codes").mapInPandas(run, schema)
         found = result if found is None else found.unionByName(result)
     return found.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("identity").alias("identity"))

@@ -22,12 +22,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.operators.pairs import blocked_join
+
 # Letters of other scripts and the Latin letters they look like.
 LOOKALIKES = {
     "Cyrillic": ("АВЕЅІЈКМНОРСТУХԌԚԜаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXGQWaesijopcyxhdqwl"),
     "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγιονρυϲϳ", "ABEZHIKMNOPTYXayiovpucj"),
     "Armenian": ("ՍՕսօոհ", "UOuonh"),
     "Latin": ("ɑɡɩ", "agi"),
+    "Cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦ", "DRTAJEWMHGZVSLCPK"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Coptic": ("ⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ", "HIKMNOoPpCcTYX"),
 }
 # Compatibility forms that differ to the eye (raised, lowered, circled, fractions, squares) keep their own form.
 _SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>"}
@@ -157,10 +162,9 @@ def count_strings(texts: Iterable[str]) -> Counter:
             s = chr(pair[0]) + chr(pair[1])
             if len(unicodedata.normalize("NFC", s)) == 1:
                 counts[s] += k
-    for c in _JOINED:
-        if c in counts:
-            s = unicodedata.normalize("NFKC", c)
-            counts[s] += whole.count(s)
+    for s in {unicodedata.normalize("NFKC", c) for c in _JOINED}:
+        if n := whole.count(s):
+            counts[s] += n
     return counts
 
 
@@ -175,9 +179,7 @@ def corpus_counts(texts: DataFrame, column: str = "text") -> dict[str, int]:
             yield pd.DataFrame({"s": list(total), "n": list(total.values())})
 
     sums = texts.select(column).mapInPandas(run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    counts = {r.s: r.n for r in sums.toLocalIterator()}
-    # a joined form's spelled-out string counts in those batches only that hold the form; where none does it needs no rank
-    return counts
+    return {r.s: r.n for r in sums.toLocalIterator()}
 
 
 @functools.lru_cache(maxsize=4)
@@ -231,13 +233,14 @@ def lookalike_pairs(prints: DataFrame, key: str) -> DataFrame:
 
     Pairs are made of the different stored texts of a form first and then expanded
     to their documents, so a text with very many exact copies is never compared
-    with itself: the work is in proportion to the result.
+    with itself: the work is in proportion to the result, and that of a form with
+    very many documents is split among tasks.
     """
     variants = prints.groupBy("form", "stored").agg(F.count("*").alias("n"))
     several = variants.groupBy("form").agg(F.count("*").alias("k")).filter("k > 1").select("form")
     variants = variants.join(several, "form", "left_semi").select("form", "stored")
     meet = variants.join(variants.withColumnRenamed("stored", "other"), "form").filter(F.col("stored") != F.col("other"))
     docs = prints.join(several, "form", "left_semi").select("form", "stored", F.col(key).alias("k")).distinct()
-    left = docs.withColumnRenamed("k", "a").join(meet, ["form", "stored"])
+    left = docs.withColumnRenamed("k", "a").join(meet, ["form", "stored"]).select("form", "other", "a")
     right = docs.select("form", F.col("stored").alias("other"), F.col("k").alias("b"))
-    return left.join(right, ["form", "other"]).filter("a < b").select("a", "b").distinct()
+    return blocked_join(left, right, ["form", "other"]).filter("a < b").select("a", "b").distinct()

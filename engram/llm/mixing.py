@@ -24,21 +24,25 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str):
-    """The public tokenizer whose ranks are in the file."""
-    import public_tokenizers
+def encoder(ranks: bytes, pattern: str):
+    """The public tokenizer of the ranks: lines of a base64 token and its number."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines())}, special_tokens={})
 
 
 def sized(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", tokenizer: str = DEFAULT_RANKS) -> DataFrame:
-    """(key, source, tokens): source trimmed and in lower case; null texts have 0 tokens. Rows of one key count once."""
+    """(key, source, tokens): source trimmed and in lower case; null texts have 0 tokens. Rows of one key count once.
+
+    The ranks, a file of about a megabyte, are read by the driver and sent to the executors.
+    """
+    import public_tokenizers
+
+    with open(tokenizer, "rb") as f:
+        known = docs.sparkSession.sparkContext.broadcast((f.read(), public_tokenizers.PATTERN))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(tokenizer)
+        e = encoder(*known.value)
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -89,12 +93,16 @@ def mix(sizes: DataFrame, targets: DataFrame, *, budget: int | None = None, seed
     if not wanted:
         return empty()
     own = sizes.filter(F.col("source").isin(*wanted))
-    sums = {r.source: (r.t or 0, r.n) for r in own.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
-    stop, total = level({s: t for s, (t, _) in sums.items()}, wanted, budget)
+    sums = {r.source: (r.t or 0, r.n, r.most or 0) for r in own.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.max("tokens").alias("most")).collect()}
+    totals = {s: t for s, (t, _, _) in sums.items()}
+    stop, total = level(totals, wanted, budget)
     if total <= 0:
         return empty()
+    # at this time at least the total is served even if every source lags by its longest document, so nothing behind it is chosen
+    latest, _ = level(totals, wanted, total + sum(most for _, _, most in sums.values()) + 1)
+    latest *= 1 + 1e-9
     # times a source is used: up to the one in which the last virtual time falls
-    plan = [(s, w, t, max(1, -(-n // bucket_rows)), min(r, int(stop * w // t) + 1 if t else 0)) for s, (t, n) in sums.items() for w, r in [wanted[s]]]
+    plan = [(s, w, t, max(1, -(-n // bucket_rows)), min(r, int(latest * w // t) + 1 if t else 0)) for s, (t, n, _) in sums.items() for w, r in [wanted[s]]]
     plan_df = spark.createDataFrame(plan, "source string, weight double, total long, buckets long, uses int").filter("uses > 0")
     rows = own.join(F.broadcast(plan_df), "source").select("*", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)).alias("copy"))
     place = F.pmod(F.xxhash64(F.lit(seed), "copy", "key"), F.lit(1 << 40)) / float(1 << 40)
@@ -102,10 +110,9 @@ def mix(sizes: DataFrame, targets: DataFrame, *, budget: int | None = None, seed
     queued = running_sum(rows, "tokens", ["source", "copy"], F.floor(F.col("place") * F.col("buckets")), [F.col("place"), F.col("key")], "served")
     finish = (F.col("served") + F.col("copy") * F.col("total")) / F.col("weight")
     queued = queued.withColumn("finish", finish).select("key", "copy", "source", "tokens", "finish")
-    # all that can fit stands before the last virtual time and one document more of each source
-    queued = materialize(queued, "queued")
-    buckets = max(1, -(-sum(n for _, n in sums.values()) // bucket_rows))
-    cut = running_sum(queued, "tokens", [], F.floor(F.least(F.col("finish") / stop, F.lit(2.0)) * buckets), [F.col("finish"), F.col("source"), F.col("key"), F.col("copy")], "position")
+    queued = materialize(queued.filter(F.col("finish") <= latest), "queued")
+    buckets = max(1, -(-2 * queued.count() // bucket_rows))
+    cut = running_sum(queued, "tokens", [], F.floor(F.col("finish") / latest * buckets), [F.col("finish"), F.col("source"), F.col("key"), F.col("copy")], "position")
     return cut.filter(F.col("position") <= total).select("key", "copy", "source", "tokens", "finish", F.col("position").cast("long").alias("position"))
 
 

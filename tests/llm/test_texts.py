@@ -93,12 +93,12 @@ def corpus():
     return docs, {i: " ".join(w) for i, w in items.items()}, truth
 
 
-@pytest.mark.parametrize("block", [20_000, 5])
+@pytest.mark.parametrize("block", [1 << 20, 1_500])
 def test_leaks(spark, block):
     docs, items, truth = corpus()
     d = spark.createDataFrame([(k, v, "x") for k, v in docs.items()] + [(900, None, "x"), (901, "", "x"), (None, docs[0], "x"), (0, docs[0], "x"), (902, "w " * 30_000, "x")], "doc_id long, text string, item_id string")
     i = spark.createDataFrame([(k, v) for k, v in items.items()] + [(77, None), (78, ""), (79, "!?")], "item_id long, text string")
-    found = [(r.doc_id, r.item_id) for r in leakage.leaks(d, i, parameters=leakage.LeakParameters(items=block)).collect()]
+    found = [(r.doc_id, r.item_id) for r in leakage.leaks(d, i, parameters=leakage.LeakParameters(block=block)).collect()]
     assert len(found) == len(set(found)) and set(found) == truth
     assert leakage.leaks(d.limit(0), i).collect() == [] and leakage.leaks(d, i.limit(0)).collect() == []
 
