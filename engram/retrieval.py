@@ -9,7 +9,7 @@ from engram.functions import text as T
 from engram.operators import bm25, hybrid, paging, vectors
 from engram.operators.filters import AllOf, And, AnyOf, Between, Eq, Field, Ge, Gt, Include, Le, Lt, NoneOf, Not, Or, Prefix, where
 from engram.operators.running import running_sum
-from engram.runtime import table
+from engram.runtime import scratch_path, table
 
 _QUERY = "policy thermostat greenhouse assertion"
 _BOOL = {
@@ -99,9 +99,10 @@ def knn_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quantize_bf16(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "embeddings").select("vec_id", "embedding", vectors.quantize_bf16("embedding").alias("q"))
-    off = F.aggregate(F.zip_with("embedding", "q", lambda a, b: F.abs(a - b) / F.greatest(F.abs(a), F.lit(1e-30))), F.lit(0.0), lambda s, x: F.greatest(s, x.cast("double")))
-    return q.select("vec_id", (off <= 1 / 256).alias("close"))
+    """A checksum of each vector after rounding: the sum of its values times their places."""
+    q = table(spark, d, "embeddings").select("vec_id", vectors.quantize_bf16("embedding").alias("q"))
+    weighted = F.transform("q", lambda x, i: x.cast("double") * (i + 1))
+    return q.select("vec_id", F.round(F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x), 6).alias("checksum"))
 
 
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -183,9 +184,36 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_filtered_text(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: filtered full-text search, best 20."""
+    """Flagship: full-text search over all documents, ten times as many ranked as asked for, then filtered; best 20."""
+    docs, limit = _docs(spark, d), 20
     node = And((Field("lang", Eq("en")), Field("n_chars", Between(200, 2000))))
-    return bm25.bm25_search(where(_docs(spark, d), node), _QUERY, key="doc_id", k=20).select("doc_id", F.round("score", 6).alias("score"))
+    found = bm25.bm25_search(docs, _QUERY, key="doc_id", k=paging.candidates(limit))
+    kept = found.join(where(docs, node).select("doc_id"), "doc_id", "left_semi")
+    return kept.orderBy(F.desc("score"), "doc_id").limit(limit).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _index(spark: SparkSession, d: str) -> bm25.TextIndex:
+    """An index of two segments, the documents of even and of odd number."""
+    index = bm25.TextIndex(spark, scratch_path(spark, "text_index"))
+    for rest in (0, 1):
+        index.add(_docs(spark, d).filter(F.col("doc_id") % 2 == rest), "doc_id")
+    return index
+
+
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).search(_QUERY, key="doc_id", k=20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def index_boolean(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).boolean(_BOOL["bool_not"], key="doc_id", k=None).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def index_remove(spark: SparkSession, d: str) -> DataFrame:
+    """Search after all documents of one source were removed and the index was compacted."""
+    index = _index(spark, d)
+    index.remove(_docs(spark, d).filter(F.lower(F.trim("source")) == "chat"), "doc_id")
+    index.compact()
+    return index.search(_QUERY, key="doc_id", k=20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def query_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -224,11 +252,11 @@ def scan_collection(spark: SparkSession, d: str) -> DataFrame:
 def search_docs(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     found = bm25.bm25_search(docs, _QUERY, key="doc_id", k=10)
-    # ten ranked ids meet their documents
-    return docs.join(found, "doc_id").select("doc_id", F.round("score", 6).alias("score"), "lang", "n_chars")
+    # ten ranked ids meet their documents and keep their order
+    return docs.join(found, "doc_id").orderBy(F.desc("score"), "doc_id").select("doc_id", F.round("score", 6).alias("score"), "lang", "n_chars")
 
 
-_PLAIN = (knn_batch, knn_cells, quantize_bf16, bm25_stats, bm25_search, bm25_fields, bm25_postings, bm25_stemmed, tok_collect, tok_default, tok_fold, flat_ft_search, detect_script, rrf, hybrid_search, search_filtered_text, query_ids, query_last_ids, query_all_ids, cursor_page, keys_page, offset_page, get_many, scan_collection, search_docs)
+_PLAIN = (knn_batch, knn_cells, quantize_bf16, bm25_stats, bm25_search, bm25_fields, bm25_postings, bm25_stemmed, tok_collect, tok_default, tok_fold, flat_ft_search, detect_script, rrf, hybrid_search, search_filtered_text, index_search, index_boolean, index_remove, query_ids, query_last_ids, query_all_ids, cursor_page, keys_page, offset_page, get_many, scan_collection, search_docs)
 
 
 def queries() -> dict:
@@ -272,10 +300,12 @@ def oracle_sql() -> dict[str, str]:
         out[f"dist_{m}"] = f"SELECT e.vec_id, round({s}, 5) + 0.0 AS distance {pair}"
         out[f"knn_{m}"] = f"SELECT vec_id, round(d, 5) + 0.0 AS distance FROM (SELECT e.vec_id, {s} AS d {pair} ORDER BY d, e.vec_id LIMIT 10)"
     words = _QUERY.split()
-    limited = "(SELECT * FROM documents WHERE lang = 'en' AND n_chars BETWEEN 200 AND 2000)"
+    other = "(SELECT * FROM documents WHERE coalesce(lower(trim(source)), '') <> 'chat')"
+    dealt = """(SELECT d.*, e.embedding FROM documents d LEFT JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings) e ON e.place = d.doc_id % e.n)"""
+    bf16 = "CASE WHEN x = 0 THEN 0 ELSE round_even(x::DOUBLE / pow(2, floor(log2(abs(x::DOUBLE))) - 7), 0) * pow(2, floor(log2(abs(x::DOUBLE))) - 7) END"
     return out | {
         "knn_batch": f"SELECT query, vec_id, round(d, 5) + 0.0 AS distance, rank FROM (SELECT q.vec_id AS query, e.vec_id, {_DIST['euclidean']} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST['euclidean']}, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 5",
-        "quantize_bf16": "SELECT vec_id, true AS close FROM embeddings",
+        "quantize_bf16": f"SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: ({bf16}) * i)), 6) AS checksum FROM embeddings",
         "bm25_stats": f"{_bm25_sql(words)} SELECT count(*) AS n, sum(len(w)) AS words, round(greatest(sum(len(w)) / count(*), 1), 6) AS avgdl FROM k",
         "bm25_search": f"{_bm25_sql(words)} SELECT doc_id, round(score, 6) AS score FROM o",
         "bm25_fields": f"{_bm25_sql(['wiki', 'chat', 'policy'], 'concat_ws(chr(10), source, text)')} SELECT doc_id, round(score, 6) AS score FROM o",
@@ -290,12 +320,15 @@ def oracle_sql() -> dict[str, str]:
  len(text) - len(regexp_replace(text, '[\x{400}-\x{4FF}]', '', 'g')) AS c, len(text) - len(regexp_replace(text, '[\x{600}-\x{6FF}\x{750}-\x{77F}]', '', 'g')) AS a FROM documents)
 SELECT doc_id, CASE WHEN j > 0 THEN 'Cjk' WHEN greatest(l, c, a) = 0 THEN 'Other' WHEN l >= c AND l >= a THEN 'Latin' WHEN c >= a THEN 'Cyrillic' ELSE 'Arabic' END AS script FROM n""",
         "rrf": "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents QUALIFY r < 100), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents QUALIFY r < 150) SELECT doc_id, round(sum(1 / (60.0 + r)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id",
-        "hybrid_search": f"""{_bm25_sql(words, source="(SELECT d.* FROM documents d JOIN embeddings e ON d.doc_id % 500 = e.vec_id)", k="LIMIT 200")},
-v AS (SELECT d.doc_id, {_DIST['euclidean']} AS x FROM documents d JOIN embeddings e ON d.doc_id % 500 = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY x, d.doc_id LIMIT 200),
+        "hybrid_search": f"""{_bm25_sql(words, k="LIMIT 200")},
+v AS (SELECT e.doc_id, {_DIST['euclidean']} AS x FROM {dealt} e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE e.embedding IS NOT NULL ORDER BY x, e.doc_id LIMIT 200),
 u AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM o UNION ALL SELECT doc_id, row_number() OVER (ORDER BY x, doc_id) - 1 FROM v),
 g AS (SELECT doc_id, sum(1 / (60.0 + r)) AS score FROM u GROUP BY doc_id)
 SELECT doc_id, round(score, 9) AS score FROM g JOIN documents USING (doc_id) WHERE lang = 'en' AND n_chars BETWEEN 200 AND 2000 ORDER BY score DESC, doc_id LIMIT 20""",
-        "search_filtered_text": f"{_bm25_sql(words, source=limited)} SELECT doc_id, round(score, 6) AS score FROM o",
+        "search_filtered_text": f"{_bm25_sql(words, k='LIMIT 200')} SELECT doc_id, round(score, 6) AS score FROM o JOIN documents USING (doc_id) WHERE lang = 'en' AND n_chars BETWEEN 200 AND 2000 ORDER BY o.score DESC, doc_id LIMIT 20",
+        "index_search": f"{_bm25_sql(words)} SELECT doc_id, round(score, 6) AS score FROM o",
+        "index_boolean": _bool_sql(["policy", "evidence", "concept", "remember"], "policy AND NOT evidence AND NOT (concept OR remember)", "s_policy"),
+        "index_remove": f"{_bm25_sql(words, source=other)} SELECT doc_id, round(score, 6) AS score FROM o",
         "query_ids": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY 1 LIMIT 50",
         "query_last_ids": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY 1 DESC LIMIT 50",
         "query_all_ids": "SELECT o_orderkey FROM orders WHERE o_custkey < 100",

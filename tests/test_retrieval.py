@@ -218,3 +218,49 @@ def test_long_documents_are_folded_whole(spark):
     df = spark.createDataFrame([(long,)], "text string")
     assert df.select(T.folded("text").alias("w")).first().w == [*(f"w{i}" for i in range(400)), "end"]
     assert T.fold_words("a b a c", most=2) == ["a", "b"] and T.fold_words("ab cd", chars=2) == ["ab"]
+
+
+def test_text_queries_as_trees():
+    t, any_, all_, no = bm25.Term, lambda *p: bm25.Any_(p), lambda *p: bm25.All_(p), bm25.Not_
+    a, b, c, d = map(t, "abcd")
+    cases = {
+        "A": a, "a AND b": all_(a, b), "a OR b": any_(a, b), "NOT a": no(a), "a b c": any_(a, b, c), "NOT a b": no(any_(a, b)),
+        "(a AND b) OR (c AND NOT d)": any_(all_(a, b), all_(c, no(d))), "(a AND b": all_(a, b), "a AND b)": all_(a, b), "(a AND (b OR c)": all_(a, any_(b, c)),
+        "a AND b))": all_(a, b), "a) OR b)": any_(a, b), "NOT NOT a))": no(no(a)), ")))": any_(), "": any_(), "a AND b OR c": any_(all_(a, b), c), "a OR b AND NOT (c OR d)": any_(a, all_(b, no(any_(c, d)))),
+        "a AND": any_(a, t("and")), "OR a": any_(t("or"), a), "a and b": any_(a, t("and"), b), "巨蟹 AND a": all_(t("巨蟹"), a), "a (b AND c)": any_(a, all_(b, c)),
+    }
+    assert {q: bm25.parse_text(q) for q in cases} == cases
+    for flood in ("x" + ")" * 100_000, "(" * 100_000 + "x", ")(" * 50_000, "x" + " )" * 50_000):
+        bm25.parse_text(flood)
+    assert bm25.parse_text("x" + ")" * 8_190) == t("x") and bm25.check_text_query("x" + ")" * 64) == t("x")
+    for bad in ("(" * 65 + "a)", "x" + ")" * 65, "NOT " * 70 + "a", " OR ".join("a" for _ in range(600))):
+        with pytest.raises(bm25.TextQueryError):
+            bm25.check_text_query(bad)
+    wide = {"a AND NOT b": False, "a OR NOT b": True, "a AND NOT (b AND NOT c)": False, "a AND NOT (b OR NOT c)": True, "a AND NOT (NOT b)": True, "NOT a AND NOT b": True}
+    assert {q: bm25.needs_complement(bm25.parse_text(q)) for q in wide} == wide
+
+
+def test_text_index(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    texts = {i: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rho"], rng.integers(0, 9))) for i in range(60)}
+    make = lambda keys: spark.createDataFrame([(k, None if k is None else texts.get(k, "alpha"), "c") for k in keys], "_id long, text string, word string")
+    index = bm25.TextIndex(spark, f"file://{tmp_path}/i", buckets=8)
+    assert index.search("alpha").collect() == [] and index.stats().first().n == 0
+    index.add(make([*range(0, 40), 3, None]))
+    index.remove(make([5, 6, 7, 999]))
+    index.add(make([*range(40, 60), 6]))
+    left = [k for k in range(60) if k not in (5, 7)]
+
+    def same():
+        plain = lambda df: [(r._id, round(r.score, 9)) for r in df.collect()]
+        for q in ("beta rho beta", "none"):
+            assert plain(index.search(q, k=30)) == plain(bm25.bm25_search(make(left), q, k=30))
+        for q in ("alpha AND NOT beta", "NOT alpha", "gamma OR (rho AND delta)", ""):
+            assert plain(index.boolean(q, k=None)) == plain(bm25.boolean_search(make(left), q, k=None))
+
+    same()
+    index.compact()
+    assert len(index.segments()) == 1
+    same()
+    with pytest.raises(bm25.TextQueryError):
+        index.boolean("NOT alpha", most_complement=10)
