@@ -254,7 +254,8 @@ def segment_join(df: DataFrame, text: str, within: list[str], k: int = 1, hot: i
     pairs = keyed(probe, "_a").join(keyed(index, "_b"), [*keys, "rest"])
     if queries is None:
         pairs = pairs.filter(F.struct("text_a", *[c + "_a" for c in carry]) < F.struct("text_b", *[c + "_b" for c in carry]))
-    pairs = pairs.filter(F.abs(F.length("text_a") - F.length("text_b")) <= k)
+    # a swap is two plain edits: this bound drops most candidates before they are gathered
+    pairs = pairs.filter(F.levenshtein("text_a", "text_b", 2 * k) >= 0)
     pairs = pairs.select(*within, "text_a", "text_b", *[c + m for m in ("_a", "_b") for c in carry]).distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,14 +335,18 @@ def _close_names(full: DataFrame, k: int) -> DataFrame:
     """(a, b) nodes of full names that are one name within k edits. Forms: words as written, and sorted from the front and from the back."""
     mirrored = F.transform(F.array_sort(F.transform("words", F.reverse)), F.reverse)
     forms = F.array_distinct(F.array(F.array_join("words", ""), F.array_join(F.array_sort("words"), ""), F.array_join(mirrored, "")))
-    known = full.groupBy("type", "node").agg(F.first("words").alias("w"), F.first("names").alias("n"), F.array_distinct(F.flatten(F.collect_set(forms))).alias("forms"))
-    rows = known.select("type", F.explode("forms").alias("form"), F.struct("node", "w", "n").alias("of"))
+    counts = F.transform(F.array_sort(F.arrays_zip("words", "names")), lambda x: x["names"])
+    rows = full.select("type", F.explode(forms).alias("form"), F.struct("node", counts.alias("n")).alias("of")).distinct()
     near = segment_join(rows, "form", ["type"], k, carry=["of"]).filter("of_a.node <> of_b.node")
     near = near.select("type", "of_a", "of_b").dropDuplicates(["of_a", "of_b"])
 
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(x["node"], y["node"]) for t, x, y in zip(pdf["type"], pdf["of_a"], pdf["of_b"]) if same_name(list(x["w"]), list(y["w"]), list(x["n"]), list(y["n"]), k, t == "Person")]
+            out = []
+            for kind, x, y in zip(pdf["type"], pdf["of_a"], pdf["of_b"]):
+                a, b = (v["node"].split("|", 1)[1].split(" ") for v in (x, y))
+                if same_name(a, b, list(x["n"]), list(y["n"]), k, kind == "Person"):
+                    out.append((x["node"], y["node"]))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
