@@ -1,26 +1,29 @@
 """Writing the graph: the clauses of the write language as set operations on versioned tables.
 
 Each call reads the state before it, computes the new row versions of all selected
-elements at once and appends them as one commit; unchanged rows write nothing.
+elements at once and appends them as one commit over all kinds; unchanged rows write
+nothing. Inside ``transaction`` several calls make one commit or none.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.sources.collection import CollectionError, VersionedTable
+from engram.sources.collection import CollectionError, CommitLog, VersionedTable, commit_all, numbered
+from engram.runtime import materialize
 from engram.sources.store import LETTERS, key_of
 
 COMMON = "space string, state string"
 KINDS = {
-    "concepts": f"{COMMON}, schema_ref string, key string, name string, canonical_id string, aliases array<string>, attributes string, merged_into string, retention string",
-    "propositions": f"{COMMON}, subject_key string, predicate_ref string, object_key string, tuple_key string, retention string",
-    "assertions": f"{COMMON}, proposition_id string, asserted_by_key string, stance string, mode string, confidence double, valid_from timestamp, valid_until timestamp, evidence_refs array<string>, status string, supersedes array<string>, superseded_by array<string>, retention string",
-    "evidence": f"{COMMON}, evidence_class string, payload_inline string, observed_at timestamp, generated_by string, status string, corrects array<string>, corrected_by array<string>, retention string",
-    "activities": f"{COMMON}, activity_class string, started_at timestamp, ended_at timestamp, inputs array<string>, output_keys array<string>, status string, retention string",
+    "concepts": f"{COMMON}, schema_ref string, key string, name string, canonical_id string, aliases array<string>, attributes string, merged_into string, retention string, purged_digest string",
+    "propositions": f"{COMMON}, subject_key string, predicate_ref string, object_key string, tuple_key string, retention string, purged_digest string",
+    "assertions": f"{COMMON}, proposition_id string, asserted_by_key string, stance string, mode string, confidence double, valid_from timestamp, valid_until timestamp, evidence_refs array<string>, status string, supersedes array<string>, superseded_by array<string>, retention string, purged_digest string",
+    "evidence": f"{COMMON}, evidence_class string, payload_inline string, observed_at timestamp, generated_by string, status string, corrects array<string>, corrected_by array<string>, retention string, purged_digest string",
+    "activities": f"{COMMON}, activity_class string, started_at timestamp, ended_at timestamp, inputs array<string>, output_keys array<string>, status string, retention string, purged_digest string",
 }
 REQUIRED = {"concepts": ("schema_ref",), "propositions": ("subject_key", "predicate_ref", "object_key"), "assertions": ("proposition_id", "stance", "mode"), "evidence": ("evidence_class",), "activities": ("activity_class",)}
 TERMINAL = ("completed", "failed", "cancelled")
@@ -33,14 +36,22 @@ def tuple_key() -> Column:
 
 
 class GraphStore:
+    """The five kinds of elements as versioned tables under one commit log."""
+
     def __init__(self, spark: SparkSession, path: str):
         from pyspark.sql.types import StructType
 
-        self.spark = spark
-        self.tables = {k: VersionedTable(spark, f"{path.rstrip('/')}/{k}", StructType.fromDDL(ddl)) for k, ddl in KINDS.items()}
+        self.spark, self.log = spark, CommitLog(spark, path)
+        self.tables = {k: VersionedTable(spark, path, StructType.fromDDL(ddl), self.log, k) for k, ddl in KINDS.items()}
+        self._pending: dict[str, DataFrame] | None = None
 
     def read(self, kind: str, upto: int | None = None) -> DataFrame:
-        return self.tables[kind].current(upto).withColumn("id", key_of(kind))
+        """The live rows; inside a transaction those of its own writes on top, unless a coordinate is given."""
+        rows = self.tables[kind].current(upto)
+        if self._pending and upto is None and kind in self._pending:
+            own = self._pending[kind].drop("_deleted")
+            rows = rows.join(own.select("_id"), "_id", "left_anti").unionByName(own.select(*rows.columns))
+        return rows.withColumn("id", key_of(kind))
 
     def load(self, kind: str, rows: DataFrame) -> int | None:
         """Take over records with their ids, as version 1."""
@@ -49,7 +60,40 @@ class GraphStore:
         return self._append(kind, own.select(*[(F.col(n) if n in own.columns else F.lit(None)).alias(n) for n in names]).withColumn("_version", F.lit(1)))
 
     def _append(self, kind: str, rows: DataFrame) -> int | None:
-        return self.tables[kind].commit(rows.withColumn("_deleted", F.lit(False)) if "_deleted" not in rows.columns else rows)
+        rows = rows if "_deleted" in rows.columns else rows.withColumn("_deleted", F.lit(False))
+        if self._pending is None:
+            return self.tables[kind].commit(rows)
+        rows = materialize(rows.select(*[F.col(f.name).cast(f.dataType) for f in self.tables[kind].schema]), "staged")
+        if kind in self._pending:
+            # an element has one new version a transaction, whatever the number of its clauses
+            rows = self._pending[kind].join(rows.select("_id"), "_id", "left_anti").unionByName(rows)
+        self._pending[kind] = rows
+        return None
+
+    @contextmanager
+    def transaction(self, *, dry_run: bool = False):
+        """Calls inside make one commit at the end, nothing if one of them fails or with ``dry_run``.
+
+        Yields a dict that has ``seq`` (null if nothing differs) and ``written``, the
+        elements written by kind, after the end. Another writer's commit since the
+        beginning is a conflict.
+        """
+        if self._pending is not None:
+            raise CollectionError("a transaction is open")
+        begun, result = (self.log.commits() or [0])[-1], {"seq": None, "written": {}}
+        self._pending = {}
+        try:
+            yield result
+            rows = {}
+            for kind, df in self._pending.items():
+                was = self.tables[kind].current().select("_id", F.col("_version").alias("_was"))
+                one = df.join(was, "_id", "left").withColumn("_version", F.coalesce(F.col("_was"), F.lit(0)) + 1).drop("_was")
+                rows[self.tables[kind]] = one
+                result["written"][kind] = df.count()
+            if not dry_run:
+                result["seq"] = commit_all(self.log, rows, begun)
+        finally:
+            self._pending = None
 
     # -- create -----------------------------------------------------------------------------
 
@@ -70,9 +114,16 @@ class GraphStore:
         missing = reduce(Column.__or__, [F.col(c).isNull() for c in REQUIRED[kind]])
         if full.filter(missing).limit(1).count():
             raise CollectionError(f"{kind} need {', '.join(REQUIRED[kind])}")
-        top = t.log().agg(F.coalesce(F.max("_id"), F.lit(0))).first()[0]
-        numbered = full.rdd.zipWithIndex().map(lambda x: (x[1] + top + 1, *x[0])).toDF("_id long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in full.select(*[F.col(f.name).cast(f.dataType) for f in t.schema if not f.name.startswith("_")]).schema))
-        return self._append(kind, numbered.withColumn("_version", F.lit(1)))
+        top = self.top(kind)
+        typed = full.select(*[F.col(f.name).cast(f.dataType) for f in t.schema if not f.name.startswith("_")])
+        return self._append(kind, numbered(typed, top + 1).withColumn("_version", F.lit(1)))
+
+    def top(self, kind: str) -> int:
+        """The greatest id given so far, to purged and staged elements too."""
+        ids = self.tables[kind].log().select("_id")
+        if self._pending and kind in self._pending:
+            ids = ids.unionByName(self._pending[kind].select("_id"))
+        return ids.agg(F.coalesce(F.max("_id"), F.lit(0))).first()[0]
 
     def ensure_propositions(self, rows: DataFrame) -> int | None:
         """Create those whose tuple isn't there; repeated tuples count once."""
@@ -174,34 +225,42 @@ class GraphStore:
                 many = dict(df.dtypes)[c].startswith("array")
                 part = df.select(F.col("id").alias("src"), (F.explode(c) if many else F.col(c)).alias("dst"))
                 out = part if out is None else out.unionByName(part)
-        key = F.regexp_extract("dst", r"([CPAEX]-\d+)", 1)
+        key = F.regexp_extract("dst", r"([CPAEX]-\d+)", 1)  # an entry may be a key or a JSON object with one
         return out.select("src", key.alias("dst")).filter("dst <> '' and src <> dst").distinct()
 
     def purge(self, kind: str, where: Column, mode: str = "deny_if_referenced") -> int | None:
-        """Leave a stub (state purged, all else null) of the selected elements; a legal hold blocks it.
+        """Erase the selected elements and all their versions; a stub keeps identity, space and a digest of what was there.
 
         ``deny_if_referenced`` refuses if others point to them, ``tombstone_reference``
-        lets the pointers stand, ``authorized_cascade`` purges what points to them, transitively.
+        lets the pointers stand, ``authorized_cascade`` erases what points to them
+        directly as well. A legal hold on any of these refuses the whole purge before
+        anything is written. The stubs are one commit over all kinds; then the older
+        versions are destroyed, which may be done again if it was broken off.
         """
-        from engram.operators.traverse import walk
-
-        hit = self.read(kind).filter(where)
-        ids = hit.select(F.col("id").alias("start"))
-        refs = self.references()
-        if mode == "deny_if_referenced" and refs.join(ids.select(F.col("start").alias("dst")), "dst", "left_semi").join(ids.select(F.col("start").alias("src")), "src", "left_anti").limit(1).count():
-            raise CollectionError("ReferencedElement")
-        doomed = ids.distinct() if mode != "authorized_cascade" else walk(refs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ids, 0, None).select(F.col("end").alias("start")).distinct()
-        last = None
-        for k in KINDS:
-            if k != kind and mode != "authorized_cascade":
-                continue
-            rows = self.read(k).join(doomed.withColumnRenamed("start", "id"), "id", "left_semi")
-            if rows.filter("retention = 'legal_hold'").limit(1).count():
-                raise CollectionError("a legal hold blocks the purge")
-            keep = ("_id", "space")
-            stub = rows.select(*[(F.col(f.name) if f.name in keep else F.lit("purged") if f.name == "state" else F.lit(None)).alias(f.name) for f in self.tables[k].schema if f.name not in ("_version", "_deleted")], (F.col("_version") + 1).alias("_version"))
-            last = self._append(k, stub) or last
-        return last
+        if mode not in ("deny_if_referenced", "tombstone_reference", "authorized_cascade"):
+            raise CollectionError(f"no reference policy {mode}")
+        if self._pending is not None:
+            raise CollectionError("a purge is a transaction of its own")
+        doomed = materialize(self.read(kind).filter(where).filter("state <> 'purged'").select("id").distinct(), "doomed")
+        pointing = self.references().join(doomed.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(doomed, "id", "left_anti")
+        if mode == "deny_if_referenced" and not pointing.isEmpty():
+            raise CollectionError(f"PurgeDenied: {pointing.count()} elements still point to these")
+        if mode == "authorized_cascade":
+            doomed = materialize(doomed.unionByName(pointing).distinct(), "doomed")
+        hit = {k: materialize(self.read(k).join(doomed, "id", "left_semi"), "hit") for k in KINDS}
+        if any(not df.filter("retention = 'legal_hold'").isEmpty() for df in hit.values()):
+            raise CollectionError("LegalHoldConflict: a legal hold blocks the purge")
+        stubs, keep = {}, ("_id", "space")
+        for k, df in hit.items():
+            names = [f.name for f in self.tables[k].schema if f.name not in ("_version", "_deleted")]
+            digest = F.sha2(F.to_json(F.struct(*names)), 256)
+            value = lambda n: F.col(n) if n in keep else F.lit("purged") if n == "state" else digest if n == "purged_digest" else F.concat(F.lit("purged:"), F.col("_id")) if n == "tuple_key" else F.lit(None)
+            stubs[self.tables[k]] = df.select(*[value(n).alias(n) for n in names], (F.col("_version") + 1).alias("_version"), F.lit(False).alias("_deleted"))
+        seq = commit_all(self.log, stubs)
+        for k, df in hit.items() if seq else ():
+            if not df.isEmpty():
+                self.tables[k].erase(df.select("_id"), seq - 1)
+        return seq
 
 
 __all__ = ["GraphStore", "KINDS", "LETTERS", "tuple_key"]

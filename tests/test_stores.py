@@ -13,10 +13,10 @@ SCHEMA = CollectionSchema((FieldDef("name", "string", optional=False, unique=Tru
 def test_documents(spark, tmp_path):
     c = Collection(spark, f"file://{tmp_path}/c", SCHEMA)
     assert c.count() == 0 and c.insert(spark.createDataFrame([], "name string")) is None
-    assert c.insert(spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "name string, age long")) == 1
+    assert c.insert(spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "name string, age long").coalesce(1)) == 1
     assert c.update(F.col("age") >= 1, {"age": F.col("age") + 10}, expect_version=1) == 2
     assert c.update(F.col("age") >= 1, {"age": F.col("age")}) is None  # nothing differs
-    assert c.remove(F.col("name") == "b") == 3
+    assert [(r._id, r.name) for r in c.remove(F.col("name") == "b").collect()] == [(2, "b")] and not c.exists(2) and c.exists(1)
     assert {(r.name, r.age) for r in c.read().collect()} == {("a", 11), ("c", None)}
     assert {(r.name, r.age) for r in c.rows.current(1).collect()} == {("a", 1), ("b", 2), ("c", None)}
     for bad in ([(None, 1)], [("a", 5)], [("z", 1), ("z", 2)]):
@@ -68,7 +68,8 @@ def test_graph(spark, tmp_path):
     with pytest.raises(CollectionError):
         g.purge("concepts", F.col("id") == "C-4", "tombstone_reference")
     g.purge("concepts", F.col("id") == "C-2", "authorized_cascade")
-    assert {(r.id, r.state) for k in ("concepts", "propositions", "assertions") for r in g.read(k).collect()} == {("C-1", "active"), ("C-2", "purged"), ("C-3", "merged"), ("C-4", "active"), ("P-1", "purged"), ("A-1", "purged"), ("A-2", "purged"), ("A-3", "purged")}
+    # what points to the element goes with it, what points to that stays
+    assert {(r.id, r.state) for k in ("concepts", "propositions", "assertions") for r in g.read(k).collect()} == {("C-1", "active"), ("C-2", "purged"), ("C-3", "merged"), ("C-4", "active"), ("P-1", "purged"), ("A-1", "active"), ("A-2", "active"), ("A-3", "active")}
     g.archive("concepts", F.col("id") == "C-1")
     g.tombstone("concepts", F.col("id") == "C-4")
     g.create("activities", spark.createDataFrame([("s", "sweep")], "space string, activity_class string"))
@@ -91,3 +92,54 @@ def test_updates_and_supersessions_reach_the_whole_table(spark, tmp_path):
     rows = [("A-1", None, None, ["A-2"]), ("A-2", "active", None, None), ("A-3", "active", ["A-4", "A-3", "A-9"], None), ("A-4", None, None, ["A-8"]), ("A-5", "purged", None, ["A-2"])]
     df = spark.createDataFrame(rows, "id string, state string, supersedes array<string>, superseded_by array<string>")
     assert {(r.old, r.new) for r in named_pairs(df).collect()} == {("A-1", "A-2"), ("A-4", "A-3")}
+
+
+def test_a_purge_leaves_nothing_behind(spark, tmp_path):
+    g = GraphStore(spark, f"file://{tmp_path}/g")
+    g.create("concepts", spark.createDataFrame([("s", "T", "a", "Secret"), ("s", "T", "b", "B")], "space string, schema_ref string, key string, name string").coalesce(1))
+    g.update("concepts", F.col("id") == "C-1", {"name": F.lit("Secret again")})
+    g.create("propositions", spark.createDataFrame([("s", "C-1", "p", "C-2")], "space string, subject_key string, predicate_ref string, object_key string"))
+    g.create("assertions", spark.createDataFrame([("s", "P-1", "support", "stated", "legal_hold"), ("s", "P-1", "reject", "stated", None)], "space string, proposition_id string, stance string, mode string, retention string").coalesce(1))
+    last = g.log.commits()[-1]
+    # a hold on a dependent refuses the whole purge
+    with pytest.raises(CollectionError, match="LegalHold"):
+        g.purge("propositions", F.lit(True), "authorized_cascade")
+    with pytest.raises(CollectionError, match="PurgeDenied"):
+        g.purge("concepts", F.col("id") == "C-1")
+    assert g.log.commits()[-1] == last and {r.state for k in ("concepts", "propositions", "assertions") for r in g.read(k).collect()} == {"active"}
+    assert g.purge("concepts", F.col("id") == "C-1", "tombstone_reference") == last + 1
+    stub = g.read("concepts").filter("id = 'C-1'").first()
+    assert stub.state == "purged" and stub.name is None and len(stub.purged_digest) == 64 and stub._version == 3
+    assert {r.id for r in g.read("concepts", last).collect()} == {"C-2"}
+    names = {r.name for f in (tmp_path / "g/concepts").iterdir() for r in spark.read.parquet(f"file://{f}").select("name").collect()}
+    assert names == {None, "B"}
+    assert g.read("propositions").filter("state = 'active'").count() == 1
+    assert g.purge("concepts", F.col("id") == "C-1", "tombstone_reference") is None
+    with pytest.raises(CollectionError):
+        g.purge("concepts", F.lit(True), "at_once")
+
+
+def test_transactions_are_all_or_nothing(spark, tmp_path):
+    g = GraphStore(spark, f"file://{tmp_path}/g")
+    concepts = lambda *names: spark.createDataFrame([("s", "T", n, n) for n in names], "space string, schema_ref string, key string, name string").coalesce(1)
+    with g.transaction() as t:
+        g.create("concepts", concepts("a", "b"))
+        g.create("propositions", spark.createDataFrame([("s", "C-1", "p", "C-2")], "space string, subject_key string, predicate_ref string, object_key string"))
+        g.update("concepts", F.col("key") == "a", {"name": F.lit("A")})
+    assert t == {"seq": 1, "written": {"concepts": 2, "propositions": 1}}
+    assert {(r.name, r._version) for r in g.read("concepts").collect()} == {("A", 1), ("b", 1)}
+    with pytest.raises(CollectionError):
+        with g.transaction():
+            g.create("concepts", concepts("c"))
+            g.create("concepts", spark.createDataFrame([("s",)], "space string"))
+    with g.transaction(dry_run=True) as t:
+        g.create("concepts", concepts("c", "d"))
+    assert t == {"seq": None, "written": {"concepts": 2}} and g.log.commits() == [1]
+    with pytest.raises(CollectionError, match="CommitConflict"):
+        with g.transaction():
+            g.create("concepts", concepts("c"))
+            GraphStore(spark, f"file://{tmp_path}/g").create("concepts", concepts("e"))
+    assert {r.key for r in g.read("concepts").collect()} == {"a", "b", "e"}
+    with g.transaction() as t:
+        g.update("concepts", F.col("key") == "nobody", {"name": F.lit("x")})
+    assert t["seq"] is None and g.log.commits() == [1, 2]
