@@ -75,28 +75,46 @@ class LeakParameters:
     block: int = 32 << 20
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment (match 1, other word, added or left-out word -1): first and last item word, equal words."""
-    n, m = len(item), len(text)
-    table, gap = np.zeros((n + 1, m + 1), dtype=np.int32), np.arange(m + 1, dtype=np.int32)
-    match = np.where(item[:, None] == text[None, :], 1, -1).astype(np.int32)
+def align_many(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """Best local alignments (match 1, other word, added or left-out word -1): first and last item word, equal words.
+
+    All pairs go through the table row by row at once; a cell carries where its
+    alignment began and how many words of it are equal, so no table is kept.
+    """
+    count, n, m = len(items), max(map(len, items), default=0), max(map(len, texts), default=0)
+    a, t = np.full((count, n), -3, dtype=np.int32), np.full((count, m), -4, dtype=np.int32)
+    for k, (x, y) in enumerate(zip(items, texts)):
+        a[k, : len(x)], t[k, : len(y)] = x, y
+    score, begun, equal = (np.zeros((count, m + 1), dtype=np.int32) for _ in range(3))
+    place, best, out = np.arange(m + 1, dtype=np.int32), np.zeros(count, dtype=np.int32), np.zeros((count, 3), dtype=np.int64)
     for i in range(1, n + 1):
-        row = np.maximum(table[i - 1] - 1, 0)
-        np.maximum(row[1:], table[i - 1, :-1] + match[i - 1], out=row[1:])
-        row += gap
-        np.maximum.accumulate(row, out=row)
-        np.subtract(row, gap, out=table[i])
-    i, j = divmod(int(table.argmax()), m + 1)
-    last, equal = i, 0
-    while table[i, j] > 0:
-        hit = 1 if item[i - 1] == text[j - 1] else -1
-        if table[i, j] == table[i - 1, j - 1] + hit:
-            equal, i, j = equal + (hit > 0), i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
-    return i, last, equal
+        hit = t == a[:, i - 1, None]
+        diagonal = score[:, :-1] + np.where(hit, 1, -1).astype(np.int32)
+        base, first, same = score - 1, begun.copy(), equal.copy()
+        use = diagonal >= base[:, 1:]
+        np.copyto(base[:, 1:], diagonal, where=use)
+        np.copyto(first[:, 1:], begun[:, :-1], where=use)
+        np.copyto(same[:, 1:], equal[:, :-1] + hit, where=use)
+        none = base <= 0
+        base[none], first[none], same[none] = 0, i, 0
+        # words of the text that the item lacks: the best cell to the left, less the distance
+        base += place
+        run = np.maximum.accumulate(base, axis=1)
+        origin = np.maximum.accumulate(np.where(base == run, place, 0), axis=1)
+        score, begun, equal = run - place, np.take_along_axis(first, origin, 1), np.take_along_axis(same, origin, 1)
+        top = score.argmax(axis=1)
+        reached = score[np.arange(count), top]
+        better = np.flatnonzero(reached > best)
+        if len(better):
+            best[better] = reached[better]
+            out[better] = np.stack([begun[better, top[better]], np.full(len(better), i), equal[better, top[better]]], axis=1)
+    return out
+
+
+def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """The best local alignment of one pair."""
+    first, last, equal = align_many([item], [text])[0].tolist()
+    return first, last, equal
 
 
 def _mixed(codes: np.ndarray, n: int) -> np.ndarray:
@@ -130,9 +148,9 @@ class _Items:
 
 def _numbered(texts: Iterable[str | None], code: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Words of texts as numbers (-1 for words no item has), and each word's text."""
-    whole = "\x00".join(t.replace("\x00", " ") if t else "" for t in texts)
+    plain = "\x00".join("" if not t else _plain(t.replace("\x00", " ")) for t in texts)
     get = code.get
-    found = np.fromiter((-2 if t == "\x00" else get(t, -1) for t in _WORD_OR_END.findall(_plain(whole))), dtype=np.int32)
+    found = np.fromiter((-2 if t == "\x00" else get(t, -1) for t in _WORD_OR_END.findall(plain)), dtype=np.int32)
     end = found == -2
     return found[~end], np.cumsum(end)[~end]
 
@@ -165,10 +183,10 @@ def _kept(docs: DataFrame, doc_id: str, text: str, items: _Items) -> DataFrame:
                 continue
             number += len(pdf)
             codes, of = _numbered(pdf[text], code)
-            pairs = [np.stack([of[places], at]) for places, at in _found(codes, of, grams, lengths)]
-            pairs = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
-            total += np.bincount(pairs[1], minlength=len(grams))
-            hold = np.unique(pairs[0])
+            pairs = [of[places] * len(grams) + at for places, at in _found(codes, of, grams, lengths)]
+            pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)
+            total += np.bincount(pairs % max(1, len(grams)), minlength=len(grams))
+            hold = np.unique(pairs // max(1, len(grams)))
             low, high = np.searchsorted(of, hold), np.searchsorted(of, hold, "right")
             if len(hold):
                 yield pd.DataFrame({"doc": pdf[doc_id].to_numpy()[hold], "codes": [codes[a:b] for a, b in zip(low, high)], "gram": None, "df": None})
@@ -197,7 +215,7 @@ class _Seeds:
             # seeds within the poorest passage of the least length; an n-gram survives errors with identity ** n, half of that is asked for
             has = np.cumsum([0] + [k in take for k in range(len(h))])
             poorest = int((has[inside:] - has[:-inside]).min()) if len(has) > inside else len(take)
-            self.least.append(max(1, int(poorest * p.identity**n / 2)))
+            self.least.append(max(1, math.ceil(poorest * p.identity**n / 2)))
             self.at.append(np.array(sorted(take), dtype=np.int64))
         every = np.concatenate([h[a] for h, a in zip(items.hashes, self.at)]) if self.at else np.zeros(0, dtype=np.uint64)
         order = np.argsort(every, kind="stable")
@@ -270,24 +288,27 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
                 begin, codes = np.cumsum(length) - length, np.concatenate(pdf["codes"].to_numpy())
                 doc, item, at, j = s.hits(codes, np.repeat(np.arange(len(pdf)), length))
                 cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else []
-                out = []
+                tries = []
                 for a, b in zip(cut, np.append(cut[1:], len(doc))):
                     d, i = doc[a], item[a]
-                    if b - a < s.least[i]:
-                        continue
-                    w, best = s.words[i], (0.0, 0.0)
-                    own_codes = codes[begin[d] : begin[d] + length[d]]
-                    for low, high, held in _bands(at[a:b], j[a:b] - begin[d], len(w), s.least[i]):
-                        first, last, equal = align(w, own_codes[max(0, low) : high])
+                    if b - a >= s.least[i]:
+                        tries += [(d, i, max(0, low), high, held) for low, high, held in _bands(at[a:b], j[a:b] - begin[d], len(s.words[i]), s.least[i])]
+                tries.sort(key=lambda x: (len(s.words[x[1]]), x[3] - x[2]))
+                best: dict = {}
+                while tries:
+                    # so many at once that a row of the table has about a hundred thousand cells
+                    some, tries = tries[: (n := max(1, 100_000 // (tries[0][3] - tries[0][2] + 1)))], tries[n:]
+                    found = align_many([s.words[i] for _, i, *_ in some], [codes[begin[d] + low : begin[d] + min(high, length[d])] for d, _, low, high, _ in some])
+                    for (d, i, _, _, held), (first, last, equal) in zip(some, found.tolist()):
+                        span, size = last - first, len(s.words[i])
+                        if span < p.passage * size or equal < p.identity * span or not span:
+                            continue
                         # sentences of one pattern agree in their common words only: rare ones must agree as well
                         inside = lambda x, first=first, last=last, n=s.n[i]: ((x >= first) & (x <= last - n)).sum()
-                        rare_agree = inside(held) >= inside(s.at[i]) * p.identity ** s.n[i] / 2
-                        if last - first >= p.passage * len(w) and equal >= p.identity * (last - first) and rare_agree:
-                            best = max(best, ((last - first) / len(w), equal / (last - first)))
-                    if best[0]:
-                        out.append((pdf["doc"].iat[d], s.ids[i], *best))
-                if out:
-                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "identity"])
+                        if inside(held) >= inside(s.at[i]) * p.identity ** s.n[i] / 2:
+                            best[d, i] = max(best.get((d, i), (0.0, 0.0)), (span / size, equal / span))
+                if best:
+                    yield pd.DataFrame([(pdf["doc"].iat[d], s.ids[i], *x) for (d, i), x in best.items()], columns=["doc_id", "item_id", "covered", "identity"])
 
         result = kept.filter("doc is not null").select("doc", "codes").mapInPandas(run, schema)
         found = result if found is None else found.unionByName(result)
