@@ -69,7 +69,7 @@ class Compiler:
     def __init__(self, query: L.Query, view: StoreView):
         self.query, self.spark = query, view.spark
         if query.as_of:
-            view = replace(view, coordinate=self._coordinate(view, *query.as_of))
+            view = replace(view, coordinate=view.resolve(*query.as_of))
         self.view, self.paths = view, {}
         _paths((query.find, query.where, [v for v, _ in query.order]), self.paths)
         for e in query.find:
@@ -84,19 +84,6 @@ class Compiler:
         if custom:
             self.policy = self.policy.custom(**custom)
 
-    @staticmethod
-    def _coordinate(view: StoreView, how: str, value: Any) -> Any:
-        if how == "SEQ":
-            return int(value)
-        journal = table(view.spark, view.path, "tx_journal")
-        if how == "TX":
-            try:
-                space, seq = history.seq_of_tx(journal, value)
-            except history.HistoryError as e:
-                raise QueryError(str(e), e.code) from e
-            return view.spark.createDataFrame([(space, seq)], "space string, seq long")
-        return history.seqs_at(journal, F.lit(value).cast("timestamp"))
-
     # -- frames ---------------------------------------------------------------------------
 
     def join(self, a: Frame | None, b: Frame, how: str = "inner") -> Frame:

@@ -77,6 +77,7 @@ class StoreView:
     max_results: int | None = None
     coordinate: Any = None
     functional: tuple[str, ...] = ("status",)
+    objects: tuple[str, ...] = ("attributes",)
 
     def rows(self, kind: str) -> DataFrame:
         """Distinct records of a kind with ``id``."""
@@ -92,6 +93,19 @@ class StoreView:
         df = df.withColumn("id", key_of(name))
         return df.filter(F.coalesce(self.visible[kind], F.lit(False))) if kind in self.visible else df
 
+    def resolve(self, how: str, value: Any) -> Any:
+        """The coordinate that AS OF names: a sequence number, or one for each space."""
+        if how == "SEQ":
+            return int(value)
+        journal = table(self.spark, self.path, "tx_journal")
+        if how == "TX":
+            try:
+                space, seq = history.seq_of_tx(journal, value)
+            except history.HistoryError as e:
+                raise QueryError(str(e), e.code) from e
+            return self.spark.createDataFrame([(space, seq)], "space string, seq long")
+        return history.seqs_at(journal, F.lit(value).cast("timestamp"))
+
     def column(self, kind: str, path: tuple[str, ...]) -> tuple[Column, str]:
         if path in (("id",), ()):
             return F.col("id"), "ref"
@@ -103,9 +117,9 @@ class StoreView:
             return F.to_json(F.struct(F.col("id"), F.lit(kind.lower()).alias("kind"), *[c().__getitem__(0).alias("_".join(p)) for p, c in PATHS[kind].items() if len(p) == 1 and p not in self.masked.get(kind, ())])), "str"
         if path in PATHS[kind]:
             return PATHS[kind][path]()
-        if kind == "CONCEPT" and path[0] == "attributes":
+        if kind == "CONCEPT" and path[0] in self.objects:
             way = "$" + "".join("['" + p.replace("'", "") + "']" for p in path[1:])
-            return F.try_variant_get(F.try_parse_json("attributes"), way, "variant"), "var"
+            return F.try_variant_get(F.try_parse_json(path[0]), way, "variant"), "var"
         return F.lit(None).cast("string"), "str"
 
     def edges(self) -> DataFrame:
@@ -116,7 +130,10 @@ class StoreView:
     def links(self, name: str) -> DataFrame:
         """(s, o) of a reference field of the active records."""
         if name not in LINKS:
-            raise QueryError(f"no structural field {name}", "SymbolUnknown")
+            df = self.rows("CONCEPT").filter("state = 'active'")
+            if "structural" not in df.columns:
+                raise QueryError(f"no structural field {name}", "SymbolUnknown")
+            return df.select(F.col("id").alias("s"), F.explode(F.try_element_at("structural", F.lit(name))).alias("o")).distinct()
         kind, column, many = LINKS[name]
         df = self.rows(kind).filter("state in ('active', 'merged')")
         df = df.select(F.col("id").alias("s"), (F.explode(column) if many else F.col(column)).alias("o"))

@@ -19,7 +19,7 @@ from engram.sources.store import LETTERS, key_of
 
 COMMON = "space string, state string"
 KINDS = {
-    "concepts": f"{COMMON}, schema_ref string, key string, name string, canonical_id string, aliases array<string>, attributes string, merged_into string, retention string, purged_digest string",
+    "concepts": f"{COMMON}, schema_ref string, key string, name string, canonical_id string, aliases array<string>, attributes string, facets string, structural map<string,array<string>>, merged_into string, retention string, purged_digest string",
     "propositions": f"{COMMON}, subject_key string, predicate_ref string, object_key string, tuple_key string, retention string, purged_digest string",
     "assertions": f"{COMMON}, proposition_id string, asserted_by_key string, stance string, mode string, confidence double, valid_from timestamp, valid_until timestamp, evidence_refs array<string>, status string, supersedes array<string>, superseded_by array<string>, retention string, purged_digest string",
     "evidence": f"{COMMON}, evidence_class string, payload_inline string, observed_at timestamp, generated_by string, status string, corrects array<string>, corrected_by array<string>, retention string, purged_digest string",
@@ -144,7 +144,8 @@ class GraphStore:
 
     def _write(self, kind: str, hit: DataFrame, sets: dict[str, Column]) -> int | None:
         columns = [f.name for f in self.tables[kind].schema if f.name not in ("_deleted", "_version")]
-        differs = reduce(Column.__or__, [~F.col(c).eqNullSafe(e) for c, e in sets.items()])
+        plain = lambda c, name: F.to_json(c) if name == "structural" else c  # noqa: E731 (maps can't be compared)
+        differs = reduce(Column.__or__, [~plain(F.col(c), c).eqNullSafe(plain(e, c)) for c, e in sets.items()])
         return self._append(kind, hit.filter(differs).select(*[(sets[c] if c in sets else F.col(c)).alias(c) for c in columns], (F.col("_version") + 1).alias("_version")))
 
     def update(self, kind: str, where: Column, sets: dict[str, Column], *, expect_version: int | None = None, limit: int | None = None) -> int | None:
