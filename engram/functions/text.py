@@ -60,7 +60,7 @@ def fold_words(text: str | None, most: int | None = None, chars: int | None = No
     if not text:
         return []
     plain = unicodedata.normalize("NFKC", text[:chars]).lower().translate(str.maketrans("ёأإآىة", "еااايه"))
-    plain = "".join(c for c in plain if not (0x064B <= ord(c) <= 0x0652 or c == "ـ"))
+    plain = "".join(c for c in plain if not (0x064B <= ord(c) <= 0x0652 or c in "\u0640\u0670"))
     out: dict[str, None] = {}
     for run in re.findall(r"[぀-ヿ㐀-鿿가-힯]+|[^\W_぀-ヿ㐀-鿿가-힯]+", plain):
         cjk = "぀" <= run[0] <= "힯" and len(run) > 1

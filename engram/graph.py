@@ -32,7 +32,8 @@ _LANGUAGE: dict[str, tuple[str, str | None]] = {
     "kql_optional": ('FIND(?c.id, ?o) WHERE { ?c CONCEPT {type: "Device"} OPTIONAL { ?p PROPOSITION (?c, "part_of", ?o) } }', "SELECT c.id AS c_id, g.o FROM c LEFT JOIN g ON g.s = c.id AND pred = 'part_of' WHERE c.type = 'Device' AND c.state = 'active'"),
     "kql_optional_join": ('FIND(?c.id, ?o, ?t.name) WHERE { ?c CONCEPT {type: "Device"} OPTIONAL { ?p PROPOSITION (?c, "part_of", ?o) } ?t CONCEPT {type: "Agent"} FILTER(IS_NULL(?o) || STARTS_WITH(?o, "C-1")) }', "SELECT c.id AS c_id, g.o, t.name AS t_name FROM c LEFT JOIN g ON g.s = c.id AND pred = 'part_of', c t WHERE c.type = 'Device' AND c.state = 'active' AND t.type = 'Agent' AND t.state = 'active' AND (g.o IS NULL OR g.o LIKE 'C-1%')"),
     "kql_not": ('FIND(?c.id) WHERE { ?c CONCEPT {type: "Service"} NOT { ?p PROPOSITION (?c, "depends_on", ?o) } }', "SELECT id AS c_id FROM c WHERE type = 'Service' AND state = 'active' AND id NOT IN (SELECT s FROM g WHERE pred = 'depends_on')"),
-    "kql_not_unshared": ('FIND(?c.id) WHERE { ?c CONCEPT {type: "Service"} NOT { ?t CONCEPT {type: "Agent"} } }', "SELECT id AS c_id FROM c WHERE false"),
+    "kql_not_unshared": ('FIND(?c.id) WHERE { ?c CONCEPT {type: "Service"} NOT { ?t CONCEPT {type: "Agent"} } }', "SELECT id AS c_id FROM c WHERE type = 'Service' AND state = 'active' AND NOT EXISTS (SELECT 1 FROM c t WHERE t.type = 'Agent' AND t.state = 'active')"),
+    "kql_not_unshared_none": ('FIND(?c.id) WHERE { ?c CONCEPT {type: "Service"} NOT { ?t CONCEPT {type: "Robot"} } }', "SELECT id AS c_id FROM c WHERE type = 'Service' AND state = 'active' AND NOT EXISTS (SELECT 1 FROM c t WHERE t.type = 'Robot' AND t.state = 'active')"),
     "kql_union": ('FIND(?c.id) WHERE { ?c CONCEPT {type: "Agent"} UNION { ?c CONCEPT {type: "Topic"} } }', "SELECT id AS c_id FROM c WHERE type IN ('Agent', 'Topic') AND state = 'active'"),
     "f_cmp": ('FIND(?a.id) WHERE { ?a ASSERTION {} FILTER(?a.confidence >= 0.8 && ?a.mode != "stated") }', "SELECT id AS a_id FROM a WHERE state = 'active' AND confidence >= 0.8 AND mode <> 'stated'"),
     "f_cmp_unlike": ('FIND(?c.id) WHERE { ?c CONCEPT {type: "Agent"} FILTER(!(?c.name > 5) && ?c.name != 5) }', "SELECT id AS c_id FROM c WHERE type = 'Agent' AND state = 'active' AND name IS NOT NULL"),
@@ -85,19 +86,26 @@ def history_element(spark: SparkSession, d: str) -> DataFrame:
     return history.element_history(table(spark, d, "element_versions"), "C-1", 10, 300)
 
 
+def history_space(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of a space in a range of its commits, a page of 200 after the first 50."""
+    return history.space_history(table(spark, d, "element_versions"), "main-desk", 5, 400, limit=200, offset=50)
+
+
 def changes(spark: SparkSession, d: str) -> DataFrame:
     return history.changes(table(spark, d, "tx_journal"), "main-desk", 40).select("seq", "tx_id", "status")
 
 
 def visible_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Changed elements per commit that a reader without the space lab-notes may see."""
-    log = table(spark, d, "element_versions")
-    return log.filter(F.col("space") != "lab-notes").select("space", "seq", "element").distinct().groupBy("space", "seq").agg(F.count("*").alias("elements"))
+    """Changed elements per commit, for a reader that may see active concepts outside the space lab-notes."""
+    view = StoreView(spark, d, visible={"CONCEPT": (F.col("space") != "lab-notes") & (F.col("state") == "active")})
+    seen = history.visible_changes(table(spark, d, "element_versions"), view.rows("CONCEPT").select(F.col("id").alias("element")))
+    return seen.groupBy("space", "seq").agg(F.count("*").alias("elements"))
 
 
 def transaction_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """All commits that carry an idempotency key, by these keys."""
     j = table(spark, d, "tx_journal")
-    return j.filter(F.col("idempotency_key").isNotNull()).select("tx_id", "space", "seq", "status", "idempotency_key").distinct()
+    return history.transactions(j, keys=j.select("idempotency_key"))
 
 
 _CLAIM_AT = "2025-06-01"
@@ -128,7 +136,16 @@ def bp_classify(spark: SparkSession, d: str) -> DataFrame:
 def bp_slot(spark: SparkSession, d: str) -> DataFrame:
     v = StoreView(spark, d)
     edges = v.edges().filter("pred = 'status'").select(F.col("p").alias("id"), F.col("s").alias("subject"), F.col("pred").alias("predicate"), F.col("o").alias("object"))
-    return belief.slots(edges, _beliefs(spark, d))
+    return belief.slots(edges, _beliefs(spark, d)).withColumn("accepted_values", F.array_join("accepted_values", " "))
+
+
+def bp_uncertainty(spark: SparkSession, d: str) -> DataFrame:
+    return belief.uncertainty(_beliefs(spark, d)).withColumn("reasons", F.array_join("reasons", " "))
+
+
+def bp_slot_query(spark: SparkSession, d: str) -> DataFrame:
+    text = f'FIND(?c.id, ?b.leading, ?b.contested) WHERE {{ ?c CONCEPT {{type: "Service"}} ?b BELIEF SLOT (?c, "status") }} FOR TIME "{_AT}"'
+    return run(StoreView(spark, d), text)
 
 
 def row_visibility(spark: SparkSession, d: str) -> DataFrame:
@@ -137,8 +154,9 @@ def row_visibility(spark: SparkSession, d: str) -> DataFrame:
 
 
 def field_mask(spark: SparkSession, d: str) -> DataFrame:
-    view = StoreView(spark, d, masked={"CONCEPT": {("name",), ("attributes",)}})
-    return run(view, 'FIND(?c.id, ?c.name, ?c.attributes.rank) WHERE { ?c CONCEPT {type: "Topic"} FILTER(IS_NULL(?c.name)) }')
+    """Names are shown, attributes are masked before the filter sees them: without the mask fewer concepts would come."""
+    view = StoreView(spark, d, masked={"CONCEPT": {("attributes",)}})
+    return run(view, 'FIND(?c.id, ?c.name, ?c.attributes.rank) WHERE { ?c CONCEPT {type: "Topic"} FILTER(IS_NULL(?c.attributes.rank)) }')
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
@@ -150,12 +168,12 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def referrers(spark: SparkSession, d: str) -> DataFrame:
-    """How many records of each reference field point to an element, for the elements most pointed to."""
+    """How many records of each reference field point to an element."""
     view, out = StoreView(spark, d), None
     for name in ("merged_into", "proposition", "evidence", "supersedes", "generated_by", "inputs", "outputs"):
         part = view.links(name).groupBy("o").agg(F.count("*").alias("n")).select(F.col("o").alias("element"), F.lit(name).alias("field"), "n")
         out = part if out is None else out.unionByName(part)
-    return out.filter("n >= 5")
+    return out
 
 
 def merge_resolve(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +203,7 @@ def search_elements(spark: SparkSession, d: str) -> DataFrame:
     return found.join(kept, "id", "left_semi").orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
-_PLAIN = (search_elements, as_of_query, as_of_seq, as_of_time, history_element, changes, visible_changes, transaction_lookup, bp_eligibility, bp_score, bp_classify, bp_slot, row_visibility, field_mask, counts, referrers, merge_resolve, capsule_closure)
+_PLAIN = (search_elements, as_of_query, as_of_seq, as_of_time, history_element, history_space, changes, visible_changes, transaction_lookup, bp_eligibility, bp_score, bp_classify, bp_slot, bp_slot_query, bp_uncertainty, row_visibility, field_mask, counts, referrers, merge_resolve, capsule_closure)
 
 
 def queries() -> dict:
@@ -224,7 +242,11 @@ gr AS (SELECT target, side, id, min(o) AS voice FROM re GROUP BY ALL),
 vo AS (SELECT z.target, z.side, coalesce(gr.voice, z.id) AS voice, max(conf) AS conf FROM z LEFT JOIN gr USING (target, side, id) GROUP BY ALL),
 sc AS (SELECT target, side, 1 - product(1 - conf) AS score, count(*) AS n FROM vo GROUP BY ALL),
 b AS (SELECT g.p AS id, coalesce(max(score) FILTER (side = 's'), 0) AS support, coalesce(max(score) FILTER (side = 'o'), 0) AS opposition, coalesce(max(n) FILTER (side = 's'), 0) AS support_voices, coalesce(max(n) FILTER (side = 'o'), 0) AS opposition_voices FROM g LEFT JOIN sc ON sc.target = g.p GROUP BY g.p),
-bs AS (SELECT *, CASE WHEN support = 0 AND opposition = 0 THEN 'insufficient' WHEN support >= 0.7 AND opposition < 0.3 THEN 'accepted' WHEN opposition >= 0.7 AND support < 0.3 THEN 'rejected' WHEN support >= 0.3 AND opposition >= 0.3 THEN 'contested' ELSE 'uncertain' END AS status FROM b)"""
+un AS (SELECT target, count(*) FILTER (excluded IS NULL AND stance = 'uncertain') AS u, count(*) FILTER (excluded IS NOT NULL) AS x FROM k GROUP BY target),
+bs AS (SELECT b.*, coalesce(u, 0) AS uncertain_claims, coalesce(x, 0) AS excluded_claims, CASE WHEN support_voices = 0 AND opposition_voices = 0 AND coalesce(u, 0) = 0 THEN 'insufficient' WHEN support >= 0.7 AND opposition < 0.3 THEN 'accepted' WHEN opposition >= 0.7 AND support < 0.3 THEN 'rejected' WHEN support >= 0.3 AND opposition >= 0.3 THEN 'contested' ELSE 'uncertain' END AS status FROM b LEFT JOIN un ON un.target = b.id)"""
+_SLOTS = """so AS (SELECT g.s AS subject, g.pred AS predicate, bs.*, CAST(split_part(bs.id, '-', 2) AS BIGINT) AS num FROM bs JOIN g ON g.p = bs.id WHERE g.pred = 'status'),
+st AS (SELECT subject, predicate, coalesce(string_agg(id, ' ' ORDER BY num) FILTER (status = 'accepted'), '') AS accepted_values, count(*) FILTER (status = 'accepted') AS accepted,
+ max(CASE WHEN status <> 'insufficient' THEN {'a': support, 'n': num, 'i': id} END).i AS lead_, count(*) FILTER (status = 'accepted') > 1 OR count(*) FILTER (status = 'contested') > 0 AS contested FROM so GROUP BY ALL)"""
 _REFERENCES = """rw AS (SELECT id AS s, 'merged_into' AS field, merged_into AS t FROM c WHERE state IN ('active', 'merged') UNION ALL SELECT id, 'proposition', proposition_id FROM a WHERE state = 'active' UNION ALL SELECT id, 'evidence', unnest(evidence_refs) FROM a WHERE state = 'active'
  UNION ALL SELECT id, 'supersedes', unnest(supersedes) FROM a WHERE state = 'active' UNION ALL SELECT id, 'generated_by', generated_by FROM e WHERE state = 'active' UNION ALL SELECT id, 'inputs', unnest(inputs) FROM x WHERE state = 'active' UNION ALL SELECT id, 'outputs', unnest(output_keys) FROM x WHERE state = 'active'),
 rf AS (SELECT DISTINCT s, field, o FROM (SELECT s, field, CASE WHEN t LIKE '{%' THEN CASE WHEN json_extract_string(t, '$.space') IS NULL THEN coalesce(json_extract_string(t, '$.evidence_id'), json_extract_string(t, '$.id')) END ELSE nullif(t, '') END AS o FROM rw) WHERE o IS NOT NULL)"""
@@ -240,12 +262,17 @@ def oracle_sql() -> dict[str, str]:
         "as_of_time": f"WITH {when} SELECT space, element, seq FROM now_",
         "history_element": "SELECT element, seq, max(version) AS version, max(lower(trim(op))) AS op FROM element_versions WHERE element = 'C-1' AND seq BETWEEN 10 AND 300 GROUP BY ALL",
         "changes": "SELECT DISTINCT seq, tx_id, status FROM tx_journal WHERE space = 'main-desk' AND seq > 40 ORDER BY seq, tx_id LIMIT 100",
-        "visible_changes": "SELECT space, seq, count(DISTINCT element) AS elements FROM element_versions WHERE space <> 'lab-notes' GROUP BY ALL",
+        "visible_changes": _with("SELECT space, seq, count(DISTINCT element) AS elements FROM element_versions WHERE element IN (SELECT id FROM c WHERE c.space <> 'lab-notes' AND c.state = 'active') GROUP BY ALL"),
         "transaction_lookup": "SELECT DISTINCT tx_id, space, seq, status, idempotency_key FROM tx_journal WHERE idempotency_key IS NOT NULL",
         "bp_eligibility": f"WITH {_VIEWS}, {_ELIGIBLE} SELECT excluded, count(*) AS claims, round(sum(conf), 4) AS confidence FROM k GROUP BY excluded",
         "bp_score": f"WITH RECURSIVE {_VIEWS}, {_SCORES} SELECT id, round(support, 6) AS support, round(opposition, 6) AS opposition, support_voices, opposition_voices FROM b",
         "bp_classify": f"WITH RECURSIVE {_VIEWS}, {_SCORES} SELECT status, count(*) AS n FROM bs GROUP BY status",
-        "bp_slot": f"WITH RECURSIVE {_VIEWS}, {_SCORES} SELECT s AS subject, pred AS predicate, count(*) FILTER (status = 'accepted') AS accepted, max(CASE WHEN status <> 'insufficient' THEN {{'a': support, 'o': o}} END).o AS leading, count(*) FILTER (status = 'accepted') > 1 OR count(*) FILTER (status = 'contested') > 0 AS contested FROM bs JOIN g ON g.p = bs.id WHERE pred = 'status' GROUP BY ALL",
+        "bp_slot": f"WITH RECURSIVE {_VIEWS}, {_SCORES}, {_SLOTS} SELECT subject, predicate, accepted_values, accepted, lead_ AS leading, contested FROM st",
+        "bp_slot_query": f"WITH RECURSIVE {_VIEWS}, {_SCORES}, {_SLOTS} SELECT c.id AS c_id, lead_ AS b_leading, contested AS b_contested FROM st JOIN c ON c.id = st.subject WHERE c.type = 'Service' AND c.state = 'active'",
+        "bp_uncertainty": f"""WITH RECURSIVE {_VIEWS}, {_SCORES} SELECT id, CASE WHEN status = 'insufficient' THEN 'total' WHEN status IN ('contested', 'uncertain') THEN 'high' WHEN opposition >= 0.3 THEN 'medium' ELSE 'low' END AS level,
+ concat_ws(' ', CASE WHEN support_voices = 0 AND opposition_voices = 0 THEN 'no_eligible_claim' END, CASE WHEN support_voices > 0 AND opposition_voices > 0 THEN 'both_sides' END, CASE WHEN support_voices = 1 AND opposition_voices = 0 THEN 'single_voice' END, CASE WHEN uncertain_claims > 0 THEN 'uncertain_claims' END, CASE WHEN excluded_claims > 0 THEN 'excluded_claims' END) AS reasons FROM bs""",
+        "history_space": "SELECT seq, element, version, op FROM (SELECT seq, element, max(version) AS version, max(lower(trim(op))) AS op FROM element_versions WHERE space = 'main-desk' AND seq BETWEEN 5 AND 400 GROUP BY ALL) ORDER BY seq, element LIMIT 200 OFFSET 50",
+        "as_of_query": f"WITH {when} SELECT element AS c_id, name AS c_name FROM (SELECT DISTINCT element, json_extract_string(r, '$.name') AS name, json_extract_string(r, '$.state') AS state FROM l JOIN m USING (space, element, seq) WHERE op <> 'purge' AND r IS NOT NULL) WHERE element LIKE 'C-%' AND state = 'active'",
         "bp_query": f"WITH RECURSIVE {_VIEWS}, {_SCORES} SELECT id AS p_id, status AS b_status, round(support, 6) AS b_support_score FROM bs WHERE support > 0.5",
         "search_elements": _with(
             r"""w AS (SELECT id, state, type, list_filter(regexp_split_to_array(lower(concat_ws(chr(10), name, array_to_string(aliases, chr(10)))), '[^\p{L}\p{N}]+'), lambda x: octet_length(encode(x)) > 1) AS w FROM c), k AS (SELECT * FROM w WHERE len(w) > 0),
@@ -254,9 +281,9 @@ f AS (SELECT q, count(*) FILTER (tf > 0) AS df FROM t GROUP BY q), r AS (SELECT
 SELECT id, round(score, 6) AS score FROM r WHERE state = 'active' AND type = 'Organization' ORDER BY r.score DESC, id LIMIT 20"""
         ).replace("WHERE state = 'active') w AS", "WHERE state = 'active'), w AS"),
         "capsule_closure": f"WITH RECURSIVE {_VIEWS}, {_REFERENCES}, ed AS (SELECT o AS dst, s AS src FROM rf WHERE field IN ('proposition', 'evidence', 'generated_by', 'inputs') UNION SELECT p, s FROM g UNION SELECT o, p FROM g), w AS (SELECT id AS start, id AS e, 0 AS d FROM c WHERE state = 'archived' UNION SELECT w.start, ed.dst, d + 1 FROM w JOIN ed ON ed.src = w.e WHERE d < 3 AND ed.dst NOT LIKE 'lit%'), m AS (SELECT start, e, min(d) AS d FROM w GROUP BY ALL) SELECT start, count(*) AS elements, max(d) AS depth FROM m GROUP BY start",
-        "referrers": f"WITH {_VIEWS}, {_REFERENCES} SELECT o AS element, field, count(*) AS n FROM rf WHERE field <> 'superseded_by' GROUP BY ALL HAVING count(*) >= 5",
+        "referrers": f"WITH {_VIEWS}, {_REFERENCES} SELECT o AS element, field, count(*) AS n FROM rf WHERE field <> 'superseded_by' GROUP BY ALL",
         "row_visibility": _with("SELECT id AS c_id, space AS c_space_id FROM c WHERE state = 'active' AND space IN ('main-desk', 'field-ops') ORDER BY id LIMIT 500"),
-        "field_mask": _with("SELECT id AS c_id, NULL AS c_name, NULL AS c_attributes_rank FROM c WHERE state = 'active' AND type = 'Topic'"),
+        "field_mask": _with("SELECT id AS c_id, name AS c_name, NULL AS c_attributes_rank FROM c WHERE state = 'active' AND type = 'Topic'"),
         "counts": _with("SELECT k AS kind, count(*) AS n FROM (SELECT 'concept' AS k, state FROM c UNION ALL SELECT 'proposition', state FROM p UNION ALL SELECT 'assertion', state FROM a UNION ALL SELECT 'evidence', state FROM e UNION ALL SELECT 'activity', state FROM x) WHERE state = 'active' GROUP BY k"),
         "merge_resolve": "WITH RECURSIVE l AS (SELECT DISTINCT 'C-' || _id AS node, merged_into AS parent FROM concepts WHERE coalesce(state, '') <> 'purged' AND length(merged_into) > 0), w AS (SELECT node, parent, [node, parent] AS seen, node = parent AS looped FROM l UNION ALL SELECT w.node, l.parent, list_append(seen, l.parent), list_contains(seen, l.parent) FROM w JOIN l ON l.node = w.parent WHERE NOT looped) SELECT node, CASE WHEN bool_or(looped) THEN node ELSE arg_max(parent, len(seen)) END AS resolved FROM w GROUP BY node",
     }

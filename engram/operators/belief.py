@@ -74,10 +74,12 @@ def combined(c: Column) -> Column:
     return F.when(sure, 1.0).otherwise(1.0 - F.exp(F.sum(F.log1p(-F.when(c < 1.0, c)))))
 
 
-def classify(support: Column, opposition: Column, policy: Policy = BASELINE) -> Column:
+def classify(support: Column, opposition: Column, policy: Policy = BASELINE, engaged: Column | None = None) -> Column:
+    """``engaged``: somebody spoke, for, against or uncertain; without it a score above 0 tells."""
     a, m = policy.accept, policy.material
+    engaged = (support > 0) | (opposition > 0) if engaged is None else engaged
     return (
-        F.when((support == 0) & (opposition == 0), "insufficient")
+        F.when(~engaged, "insufficient")
         .when((support >= a) & (opposition < m), "accepted")
         .when((opposition >= a) & (support < m), "rejected")
         .when((support >= m) & (opposition >= m), "contested")
@@ -85,8 +87,25 @@ def classify(support: Column, opposition: Column, policy: Policy = BASELINE) ->
     )
 
 
+#: stages that a projection leaves out, to be told with its results
+MISSING_STAGES = ("trust", "evidence_quality")
+
+
+def uncertainty(beliefs: DataFrame, policy: Policy = BASELINE) -> DataFrame:
+    """(id, level, reasons): how uncertain each answer of ``project`` is and why.
+
+    Level total (nobody spoke), high (contested or undecided), medium (opposition that
+    matters) or low. Reasons: no_eligible_claim, both_sides, single_voice,
+    uncertain_claims, excluded_claims.
+    """
+    level = F.when(F.col("status") == "insufficient", "total").when(F.col("status").isin("contested", "uncertain"), "high").when(F.col("opposition") >= policy.material, "medium").otherwise("low")
+    s, o = F.col("support_voices"), F.col("opposition_voices")
+    reasons = [((s == 0) & (o == 0), "no_eligible_claim"), ((s > 0) & (o > 0), "both_sides"), ((s == 1) & (o == 0), "single_voice"), (F.col("uncertain_claims") > 0, "uncertain_claims"), (F.col("excluded_claims") > 0, "excluded_claims")]
+    return beliefs.select("id", level.alias("level"), F.array_compact(F.array(*[F.when(c, r) for c, r in reasons])).alias("reasons"))
+
+
 def project(propositions: DataFrame, claims: DataFrame, *, policy: Policy = BASELINE, functional: tuple[str, ...] = (), at: Column | None = None) -> DataFrame:
-    """(id, support, opposition, support_voices, opposition_voices, status, policy) of every proposition.
+    """(id, support, opposition, support_voices, opposition_voices, uncertain_claims, excluded_claims, status, policy) of every proposition.
 
     :param propositions: id, subject, predicate (local name), object: the live ones.
     :param claims: id, target, actor, stance, mode, confidence, status, state,
@@ -95,7 +114,8 @@ def project(propositions: DataFrame, claims: DataFrame, *, policy: Policy = BASE
     :param functional: predicates with one value: support for another object of the
         same subject counts as opposition.
     """
-    usable = eligibility(claims.dropDuplicates(["id"]), policy, at).filter("excluded is null")
+    judged = eligibility(claims.dropDuplicates(["id"]), policy, at)
+    usable = judged.filter("excluded is null")
     direct = usable.filter(F.col("stance").isin("support", "reject")).select("target", F.when(F.col("stance") == "support", "s").otherwise("o").alias("side"), F.col("id").alias("claim"), "actor", "evidence", "confidence")
     sides = direct
     if functional:
@@ -108,15 +128,31 @@ def project(propositions: DataFrame, claims: DataFrame, *, policy: Policy = BASE
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     scores = by_side.groupBy(F.col("target").alias("id")).agg(pick("s", "score").alias("s"), pick("o", "score").alias("o"), pick("s", "n").alias("sn"), pick("o", "n").alias("on"))
     zero = lambda c, v: F.coalesce(c, F.lit(v))
-    out = propositions.select("id").join(scores, "id", "left").select("id", zero("s", 0.0).alias("support"), zero("o", 0.0).alias("opposition"), zero("sn", 0).cast("long").alias("support_voices"), zero("on", 0).cast("long").alias("opposition_voices"))
-    return out.withColumn("status", classify(F.col("support"), F.col("opposition"), policy)).withColumn("policy", F.lit(policy.id))
+    # claims that take no side, and those left out, counted once for each proposition
+    unsure = F.col("excluded").isNull() & F.coalesce(F.col("stance") == "uncertain", F.lit(False))
+    others = judged.groupBy(F.col("target").alias("id")).agg(F.sum(unsure.cast("long")).alias("u"), F.sum(F.col("excluded").isNotNull().cast("long")).alias("x"))
+    out = propositions.select("id").join(scores, "id", "left").join(others, "id", "left")
+    count = lambda c, name: zero(c, 0).cast("long").alias(name)
+    out = out.select("id", zero("s", 0.0).alias("support"), zero("o", 0.0).alias("opposition"), count("sn", "support_voices"), count("on", "opposition_voices"), count("u", "uncertain_claims"), count("x", "excluded_claims"))
+    engaged = (F.col("support_voices") > 0) | (F.col("opposition_voices") > 0) | (F.col("uncertain_claims") > 0)
+    return out.withColumn("status", classify(F.col("support"), F.col("opposition"), policy, engaged)).withColumn("policy", F.lit(policy.id))
 
 
 def slots(propositions: DataFrame, beliefs: DataFrame) -> DataFrame:
-    """(subject, predicate, accepted, leading, contested) of every slot: its accepted objects, the best supported one that isn't insufficient, and whether values contend."""
-    rows = propositions.select("id", "subject", "predicate", "object").join(beliefs, "id")
-    accepted = F.sum((F.col("status") == "accepted").cast("long"))
-    known = F.when(F.col("status") != "insufficient", F.struct("support", "object"))
-    return rows.groupBy("subject", "predicate").agg(
-        accepted.alias("accepted"), F.max(known).getField("object").alias("leading"), ((accepted > 1) | (F.sum((F.col("status") == "contested").cast("long")) > 0)).alias("contested")
+    """(subject, predicate, accepted_values, accepted, leading, contested) of every slot.
+
+    ``accepted_values`` lists the accepted propositions in order, ``accepted`` counts
+    them; two are a contradiction to be seen, not settled here. ``leading`` is the best
+    supported proposition that isn't insufficient, of equal ones the last.
+    """
+    rows = propositions.select("id", "subject", "predicate").join(beliefs, "id")
+    accepted = F.col("status") == "accepted"
+    number = F.split("id", "-")[1].cast("long")
+    known = F.when(F.col("status") != "insufficient", F.struct("support", number.alias("n"), "id"))
+    out = rows.groupBy("subject", "predicate").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(accepted, F.struct(number.alias("n"), "id")))), lambda x: x["id"]).alias("accepted_values"),
+        F.max(known).getField("id").alias("leading"),
+        F.sum((F.col("status") == "contested").cast("long")).alias("_contested"),
     )
+    n = F.size("accepted_values").cast("long")
+    return out.select("subject", "predicate", "accepted_values", n.alias("accepted"), "leading", ((n > 1) | (F.col("_contested") > 0)).alias("contested"))

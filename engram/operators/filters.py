@@ -167,10 +167,11 @@ def _parts(node: Any) -> tuple:
 
 def check_size(node: Any) -> None:
     """Refuse filters that are too deep, too wide or too large."""
-    seen, level, depth = 0, [node], 0
+    seen, branches, level, depth = 0, 0, [node], 0
     while level:
         depth, seen = depth + 1, seen + len(level)
-        if depth > MAX_DEPTH or seen > MAX_NODES or any(len(_parts(n)) > MAX_BRANCHES for n in level):
+        branches += sum(len(_parts(n)) for n in level if isinstance(n, (And, Or, AllOf, AnyOf)))
+        if depth > MAX_DEPTH or seen > MAX_NODES or branches > MAX_BRANCHES:
             raise FilterError("the filter is too complex")
         level = [p for n in level for p in _parts(n)]
 

@@ -59,3 +59,44 @@ def changes(journal: DataFrame, space: str, after: int, limit: int = 100) -> Dat
     """Commits of a space after a coordinate, in order; the last seq delivered is the next cursor."""
     rows = journal.filter((F.col("space") == space) & (F.col("seq") > after)).select("seq", "tx_id", "status", "committed_at").distinct()
     return rows.orderBy("seq", "tx_id").limit(limit)
+
+
+def space_history(log: DataFrame, space: str, low: int = 0, high: int | None = None, *, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """(seq, element, version, op): the distinct changes of a space in a range of its commits, in order, as pages."""
+    rows = log.filter((F.col("space") == space) & (F.col("seq") >= low))
+    rows = rows if high is None else rows.filter(F.col("seq") <= high)
+    out = rows.groupBy("seq", "element").agg(F.max("version").alias("version"), F.max(F.lower(F.trim("op"))).alias("op")).orderBy("seq", "element")
+    out = out.offset(offset) if offset else out
+    return out if limit is None else out.limit(limit)
+
+
+def visible_changes(log: DataFrame, readable: DataFrame) -> DataFrame:
+    """(space, seq, element): the distinct changes of elements that a reader may see (a table with ``element``)."""
+    seen = readable.select("element").dropna().distinct()
+    return log.select("space", "seq", "element").join(seen, "element", "left_semi").select("space", "seq", "element").distinct()
+
+
+def transactions(journal: DataFrame, *, ids: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """(tx_id, space, seq, status, idempotency_key) of the commits with one of the ids (``tx_id``) or idempotency keys."""
+    rows = journal.select("tx_id", "space", "seq", "status", "idempotency_key").distinct()
+    if ids is not None:
+        rows = rows.join(ids.select("tx_id").dropna().distinct(), "tx_id", "left_semi")
+    if keys is not None:
+        rows = rows.join(keys.select("idempotency_key").dropna().distinct(), "idempotency_key", "left_semi")
+    return rows.select("tx_id", "space", "seq", "status", "idempotency_key")
+
+
+def schema_at(packages: DataFrame, seq: int) -> DataFrame:
+    """(package, version): the schema in force at a coordinate, from rows package, version, from_seq: of each package the last up to it."""
+    return packages.filter(F.col("from_seq") <= seq).groupBy("package").agg(F.max_by("version", "from_seq").alias("version"))
+
+
+def bound(journal: DataFrame, token: str, seq: int | None = None) -> tuple[str, int]:
+    """(space, seq) that reads under a snapshot token are made at; a coordinate named besides must agree."""
+    space, _, at = token.rpartition(":")
+    if not space or not at.isdigit():
+        raise HistoryError(f"no snapshot {token}", "HistoricalSnapshotUnavailable")
+    if seq is not None and seq != int(at):
+        raise HistoryError(f"the snapshot is at {at}, not {seq}", "SnapshotConflict")
+    snapshot(journal, space, int(at))
+    return space, int(at)

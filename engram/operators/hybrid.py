@@ -27,20 +27,31 @@ def ranked(found: DataFrame, order: Sequence, key: str = "_id") -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1).select(key, "rank")
 
 
-def search(docs: DataFrame, *, text: str | None = None, vector: Sequence[float] | None = None, filter: Any = None, limit: int | None = None, logical: bool = False, key: str = "_id", text_column: str | list[str] = "text", vector_column: str = "embedding", metric: str = "euclidean", params: Bm25 = Bm25(), k: float = 60.0) -> DataFrame:
+def search(docs: DataFrame, *, text: str | None = None, vector: Sequence[float] | None = None, filter: Any = None, limit: int | None = None, logical: bool = False, key: str = "_id", text_column: str | list[str] | tuple = "text", vector_column: str | dict[str, int] = "embedding", metric: str = "euclidean", params: Bm25 = Bm25(), k: float = 60.0) -> DataFrame:
     """(key, score) in order of relevance.
 
     Each ranked list passes on ten times the limit; the filter applies after fusion,
     so fewer rows than the limit may remain. Only a filter: the smallest matching
     ids, score 0. Neither search nor filter: nothing.
+
+    :param text_column: a column; a list of columns is one index of their texts joined,
+        a tuple of such has a ranked list for each.
+    :param vector_column: a column, or columns with their lengths, of which those as
+        long as the query are searched, each for a ranked list. If none is, a search
+        for text as well goes on without vectors, one for the vector alone is an error.
     """
     limit = search_limit(limit)
     top, lists = candidates(limit), []
     if text is not None:
         find = boolean_search if logical else bm25_search
-        lists.append(ranked(find(docs, text, key=key, text=text_column, k=top, params=params), [F.desc("score"), key], key))
+        for column in text_column if isinstance(text_column, tuple) else (text_column,):
+            lists.append(ranked(find(docs, text, key=key, text=column, k=top, params=params), [F.desc("score"), key], key))
     if vector is not None:
-        lists.append(ranked(knn(docs, vector, top, key=key, vector=vector_column, metric=metric), ["distance", key], key))
+        columns = [vector_column] if isinstance(vector_column, str) else [c for c, n in vector_column.items() if n == len(vector)]
+        if not columns and text is None:
+            raise ValueError(f"no vectors of length {len(vector)}")
+        for column in columns:
+            lists.append(ranked(knn(docs, vector, top, key=key, vector=column, metric=metric), ["distance", key], key))
     if not lists:
         if filter is None or not limit:
             return docs.select(key, F.lit(0.0).alias("score")).limit(0)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from engram.runtime import materialize
+from engram.runtime import materialize, scratch_path
 
 METRICS = ("euclidean", "cosine", "inner_product", "manhattan")
 EPSILON = float(np.finfo(np.float32).eps)
@@ -83,43 +83,50 @@ def knn(df: DataFrame, query: Sequence[float], k: int, *, key: str = "_id", vect
     return rows.orderBy("distance", key).limit(k)
 
 
-def _top(metric: str, k: int, block: list[tuple[int, np.ndarray]], key: str, vector: str):
-    ids, matrix = [i for i, _ in block], np.stack([v for _, v in block])
+def _top(metric: str, k: int, known, key: str, vector: str, at_once: int = 1_000):
+    """The best k of a partition for each query of a broadcast block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_d, best_k = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), dtype=np.int64)
+        ids, matrix = known.value
+        blocks = [(matrix[i : i + at_once], np.full((len(matrix[i : i + at_once]), 0), np.inf), np.zeros((len(matrix[i : i + at_once]), 0), dtype=np.int64)) for i in range(0, len(ids), at_once)]
         for pdf in batches:
             pdf = pdf[pdf[vector].map(lambda v: v is not None and len(v) == matrix.shape[1])]
             if not len(pdf):
                 continue
-            d = distances(np.stack(pdf[vector].to_numpy()), matrix, metric)
-            best_d, best_k = np.hstack([best_d, d]), np.hstack([best_k, np.broadcast_to(pdf[key].to_numpy(), d.shape)])
-            order = np.lexsort((best_k, best_d), axis=1)[:, :k]
-            best_d, best_k = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_k, order, 1)
-        if best_d.shape[1]:
-            yield pd.DataFrame({"query": np.repeat(ids, best_d.shape[1]), key: best_k.ravel(), "distance": best_d.ravel()})
+            rows, keys = np.stack(pdf[vector].to_numpy()), pdf[key].to_numpy()
+            for b, (asked, best_d, best_k) in enumerate(blocks):
+                d = distances(rows, asked, metric)
+                best_d, best_k = np.hstack([best_d, d]), np.hstack([best_k, np.broadcast_to(keys, d.shape)])
+                order = np.lexsort((best_k, best_d), axis=1)[:, :k]
+                blocks[b] = asked, np.take_along_axis(best_d, order, 1), np.take_along_axis(best_k, order, 1)
+        for b, (_, best_d, best_k) in enumerate(blocks):
+            if best_d.shape[1]:
+                own = ids[b * at_once : (b + 1) * at_once]
+                yield pd.DataFrame({"query": np.repeat(own, best_d.shape[1]), key: best_k.ravel(), "distance": best_d.ravel()})
 
     return run
 
 
-def batch_knn(df: DataFrame, queries: DataFrame, k: int, *, key: str = "_id", vector: str = "embedding", metric: str = "euclidean", block: int = 2_000) -> DataFrame:
+def batch_knn(df: DataFrame, queries: DataFrame, k: int, *, key: str = "_id", vector: str = "embedding", metric: str = "euclidean", block: int = 64 << 20) -> DataFrame:
     """(query, key, distance, rank) of the k nearest of each query (a table with the same columns).
 
-    Queries go to all partitions in blocks of stated size; every partition answers a
-    block with its own best k by one matrix product, so what is shuffled is k rows a
-    query and partition, whatever the corpus holds.
+    Queries are broadcast in blocks of at most ``block`` bytes, for each of which the
+    corpus is read once; every partition answers with its own best k by matrix products,
+    so what is shuffled is k rows a query and partition, whatever the corpus holds.
     """
-    found, block_rows = None, []
+    sc, found, rows, size = df.sparkSession.sparkContext, None, [], 0
 
     def flush() -> None:
-        nonlocal found, block_rows
-        if block_rows:
-            part = df.select(key, vector).filter(F.col(vector).isNotNull()).mapInPandas(_top(metric, k, block_rows, key, vector), f"query long, {key} long, distance double")
-            found, block_rows = part if found is None else found.unionByName(part), []
+        nonlocal found, rows, size
+        if rows:
+            known = sc.broadcast(([i for i, _ in rows], np.stack([v for _, v in rows])))
+            part = df.select(key, vector).filter(F.col(vector).isNotNull()).mapInPandas(_top(metric, k, known, key, vector), f"query long, {key} long, distance double")
+            found, rows, size = part if found is None else found.unionByName(part), [], 0
 
     for r in queries.select(key, vector).filter(F.col(vector).isNotNull()).toLocalIterator():
-        block_rows.append((r[0], np.array(r[1], dtype=np.float64)))
-        if len(block_rows) == block:
+        rows.append((r[0], np.array(r[1], dtype=np.float64)))
+        size += 8 * len(r[1])
+        if size >= block:
             flush()
     flush()
     if found is None:
@@ -185,7 +192,11 @@ class CellIndex:
                     d = distances(place(np.stack(pdf[vector].to_numpy()).astype(np.float64)), centres, "euclidean")
                     yield pdf.assign(cell=d.argmin(0).astype(np.int32), off=d.min(0))
 
-        placed = materialize(rows.select(key, vector).mapInPandas(put, f"{key} long, {vector} array<float>, cell int, off double"), "cells")
+        # cells are folders, so a search reads those it opens only
+        schema = f"{key} long, {vector} array<float>, cell int, off double"
+        path = scratch_path(df.sparkSession, "cells")
+        rows.select(key, vector).mapInPandas(put, schema).repartition("cell").write.partitionBy("cell").parquet(path)
+        placed = df.sparkSession.read.schema(schema).parquet(path)
         radius = np.full(len(centres), -np.inf)
         for r in placed.groupBy("cell").agg(F.max("off").alias("off")).collect():
             radius[r.cell] = r.off

@@ -23,7 +23,7 @@ from engram.operators.traverse import walk
 from engram.plans import language as L
 from engram.plans.language import QueryError
 from engram.plans.store_view import KIND_OF, SEP, StoreView
-from engram.runtime import table
+from engram.runtime import materialize
 
 _INNER = "␟"
 
@@ -113,13 +113,13 @@ class Compiler:
         if not loose:
             return a.df.join(b.df, shared, how)
         if how != "inner":
-            left = a.df.withColumn("_row", F.monotonically_increasing_id())
-            right = b.df.select(*[_quoted(c).alias("_r_" + c) for c in b.df.columns])
-            on = reduce(Column.__and__, [(_quoted(v) == _quoted("_r_" + v)) | (_quoted(v).isNull() if a.vars[v].nullable else F.lit(False)) | (_quoted("_r_" + v).isNull() if b.vars[v].nullable else F.lit(False)) for v in shared])
-            out = left.join(right, on, how).drop("_row")
+            # rows of the left are numbered, so that the ways to agree below, hash joins all, tell which have found a partner
+            left = Frame(materialize(a.df.withColumn("_row", F.monotonically_increasing_id()), "nullable"), a.vars)
+            found = self._match(left, b, shared, "inner")
             if how == "left_anti":
-                return out
-            return out.select(*map(_quoted, a.df.columns), *[_quoted("_r_" + c).alias(c) for c in b.df.columns if c not in shared])
+                return left.df.join(found.select("_row").distinct(), "_row", "left_anti").drop("_row")
+            own = [c for c in b.df.columns if c not in shared]
+            return left.df.join(found.select("_row", *map(_quoted, own)), "_row", "left").select(*map(_quoted, a.df.columns), *map(_quoted, own))
         # a null agrees with anything: one hash join for each way the nullable variables can be null
         parts = []
         firm = [v for v in shared if v not in loose]
@@ -334,7 +334,7 @@ class Compiler:
             raise QueryError("a slot needs a bound subject and one predicate", "ProjectionTargetUnbounded")
         edges = self.view.edges().select(F.col("p").alias("id"), F.col("s").alias("subject"), F.col("pred").alias("predicate"), F.col("o").alias("object"))
         rows = belief.slots(edges.filter(F.col("predicate") == c.predicate.symbols[0]), self.view.beliefs(self.policy, self._at()))
-        known = {("accepted",): ("accepted", "num"), ("leading",): ("leading", "str"), ("contested",): ("contested", "bool"), ("*",): ("subject", "str")}
+        known = {("accepted",): ("accepted", "num"), ("accepted_values",): ("accepted_values", "arr"), ("leading",): ("leading", "str"), ("contested",): ("contested", "bool"), ("*",): ("subject", "str")}
         cols = [(p, *known.get(p, ("subject", "str"))) for p in sorted(self.paths.get(c.var, ()))]
         picked = rows.select(F.col("subject").alias("s"), F.concat_ws("|", "subject", "predicate").alias(c.var), *[F.col(x).alias(_name(c.var, p)) for p, x, _ in cols])
         if isinstance(c.subject, L.Lit):

@@ -305,6 +305,7 @@ def oracle_sql() -> dict[str, str]:
     bf16 = "CASE WHEN x = 0 THEN 0 ELSE round_even(x::DOUBLE / pow(2, floor(log2(abs(x::DOUBLE))) - 7), 0) * pow(2, floor(log2(abs(x::DOUBLE))) - 7) END"
     return out | {
         "knn_batch": f"SELECT query, vec_id, round(d, 5) + 0.0 AS distance, rank FROM (SELECT q.vec_id AS query, e.vec_id, {_DIST['euclidean']} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST['euclidean']}, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 5",
+        "knn_cells": f"SELECT query, vec_id, round(d, 5) + 0.0 AS distance, rank FROM (SELECT q.vec_id AS query, e.vec_id, {_DIST['euclidean']} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST['euclidean']}, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 10",
         "quantize_bf16": f"SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: ({bf16}) * i)), 6) AS checksum FROM embeddings",
         "bm25_stats": f"{_bm25_sql(words)} SELECT count(*) AS n, sum(len(w)) AS words, round(greatest(sum(len(w)) / count(*), 1), 6) AS avgdl FROM k",
         "bm25_search": f"{_bm25_sql(words)} SELECT doc_id, round(score, 6) AS score FROM o",
@@ -316,7 +317,7 @@ def oracle_sql() -> dict[str, str]:
         "bool_nested": _bool_sql(["policy", "transaction", "evidence"], "(policy OR transaction) AND evidence", "s_policy + s_transaction"),
         "tok_collect": f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY ALL",
         "flat_ft_search": f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS word FROM documents) WHERE word IN ('policy', 'evidence', 'der') GROUP BY ALL",
-        "detect_script": r"""WITH n AS (SELECT doc_id, len(text) - len(regexp_replace(text, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]', '', 'g')) AS j, len(text) - len(regexp_replace(text, '[A-Za-z\x{C0}-\x{24F}]', '', 'g')) AS l,
+        "detect_script": r"""WITH n AS (SELECT doc_id, len(text) - len(regexp_replace(text, '[\x{1100}-\x{11FF}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}]', '', 'g')) AS j, len(text) - len(regexp_replace(text, '[A-Za-z\x{C0}-\x{24F}]', '', 'g')) AS l,
  len(text) - len(regexp_replace(text, '[\x{400}-\x{4FF}]', '', 'g')) AS c, len(text) - len(regexp_replace(text, '[\x{600}-\x{6FF}\x{750}-\x{77F}]', '', 'g')) AS a FROM documents)
 SELECT doc_id, CASE WHEN j > 0 THEN 'Cjk' WHEN greatest(l, c, a) = 0 THEN 'Other' WHEN l >= c AND l >= a THEN 'Latin' WHEN c >= a THEN 'Cyrillic' ELSE 'Arabic' END AS script FROM n""",
         "rrf": "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents QUALIFY r < 100), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents QUALIFY r < 150) SELECT doc_id, round(sum(1 / (60.0 + r)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id",

@@ -74,9 +74,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    raised = "WITH a AS (SELECT DISTINCT ON (_id) * FROM assertions), h AS (SELECT * FROM a WHERE stance = 'support' AND confidence >= 0{limit}) SELECT _id, round(least(confidence + 0.25, 1), 6) AS confidence FROM h WHERE least(confidence + 0.25, 1) <> confidence"
     return {
         "update_exprs": "SELECT DISTINCT ON (_id) _id, round(least(greatest((coalesce(CASE WHEN confidence >= 0 THEN confidence END, 0.5) + 0.1) * 1.2, 0.2), 0.9), 6) AS confidence FROM assertions",
         "kml_archive": "WITH c AS (SELECT DISTINCT ON (_id) * FROM concepts), u AS (SELECT state = 'active' AND schema_ref LIKE '%/Place' AS hit, state FROM c) SELECT CASE WHEN hit THEN 'archived' ELSE state END AS state, CASE WHEN hit THEN 2 ELSE 1 END AS version, count(*) AS n FROM u GROUP BY ALL",
-        "kml_update": "WITH a AS (SELECT DISTINCT ON (_id) * FROM assertions), h AS (SELECT * FROM a WHERE stance = 'support' AND confidence >= 0 ORDER BY _id LIMIT 500) SELECT _id, round(least(confidence + 0.25, 1), 6) AS confidence FROM h WHERE least(confidence + 0.25, 1) <> confidence",
+        "kml_update": raised.format(limit=""),
+        "kml_update_limit": raised.format(limit=" ORDER BY _id LIMIT 500"),
         "kml_as_of": "SELECT state, count(*) AS n FROM (SELECT DISTINCT ON (_id) * FROM concepts) GROUP BY state",
     }
