@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.operators import belief, bm25, history
+from engram.operators.governance import Statement, authorize
 from engram.operators.hierarchy import CYCLE, hierarchy
 from engram.operators.traverse import walk
+from engram.plans import meta
 from engram.plans.compile import run
 from engram.plans.store_view import StoreView
 from engram.runtime import table
@@ -160,11 +162,7 @@ def field_mask(spark: SparkSession, d: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
-    view, out = StoreView(spark, d), None
-    for kind in ("CONCEPT", "PROPOSITION", "ASSERTION", "EVIDENCE", "ACTIVITY"):
-        part = view.rows(kind).filter("state = 'active'").agg(F.lit(kind.lower()).alias("kind"), F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return meta.counts(StoreView(spark, d))
 
 
 def referrers(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +201,33 @@ def search_elements(spark: SparkSession, d: str) -> DataFrame:
     return found.join(kept, "id", "left_semi").orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
-_PLAIN = (search_elements, as_of_query, as_of_seq, as_of_time, history_element, history_space, changes, visible_changes, transaction_lookup, bp_eligibility, bp_score, bp_classify, bp_slot, bp_slot_query, bp_uncertainty, row_visibility, field_mask, counts, referrers, merge_resolve, capsule_closure)
+def kip_search(spark: SparkSession, d: str) -> DataFrame:
+    """The words in concepts, propositions and evidence of all spaces, merged by score."""
+    found = meta.search(StoreView(spark, d), "marine services depends_on thermostat", limit=40)
+    return found.select("id", "kind", F.round("score", 6).alias("score"))
+
+
+def list_types(spark: SparkSession, d: str) -> DataFrame:
+    return meta.list_(StoreView(spark, d), "TYPES").unionByName(meta.list_(StoreView(spark, d), "PREDICATES"))
+
+
+def list_spaces(spark: SparkSession, d: str) -> DataFrame:
+    return meta.list_(StoreView(spark, d), "SPACES")
+
+
+def authorized(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader finds who is allowed two spaces and, anywhere, active topics, but nothing merged."""
+    some = [
+        Statement(True, frozenset({"reader"}), frozenset({"read"}), frozenset({"CONCEPT"}), frozenset({"main-desk", "field-ops"})),
+        Statement(True, None, frozenset({"read"}), frozenset({"CONCEPT"}), where="state = 'active' and schema_ref like '%/Topic'"),
+        Statement(False, where="coalesce(merged_into, '') <> ''"),
+    ]
+    may = authorize(some, "reader")
+    view = StoreView(spark, d, visible={k: c for k, c in may.visible.items() if k == "CONCEPT"}, masked=may.masked, max_results=may.max_results)
+    return run(view, 'FIND(?c.id, ?c.space_id) WHERE { ?c CONCEPT {state: ["active", "archived", "merged"]} }')
+
+
+_PLAIN = (search_elements, kip_search, list_types, list_spaces, authorized, as_of_query, as_of_seq, as_of_time, history_element, history_space, changes, visible_changes, transaction_lookup, bp_eligibility, bp_score, bp_classify, bp_slot, bp_slot_query, bp_uncertainty, row_visibility, field_mask, counts, referrers, merge_resolve, capsule_closure)
 
 
 def queries() -> dict:
@@ -253,6 +277,18 @@ rf AS (SELECT DISTINCT s, field, o FROM (SELECT s, field, CASE WHEN t LIKE '{%'
 _PAST = """l AS (SELECT v.space, element, v.seq, version, lower(trim(op)) AS op, "row" AS r FROM element_versions v {join}), m AS (SELECT space, element, max(seq) AS seq FROM l GROUP BY ALL), now_ AS (SELECT DISTINCT l.space, l.element, l.seq FROM l JOIN m USING (space, element, seq) WHERE op <> 'purge' AND r IS NOT NULL)"""
 
 
+def _search_sql(words: list[str], top: int) -> str:
+    """Ranked words in the texts of three kinds, the best of each merged."""
+    parts, ctes = [], []
+    for v, kind, text in (("c", "concept", "concat_ws(chr(10), name, array_to_string(aliases, chr(10)), attributes)"), ("p", "proposition", "coalesce(predicate_ref, '')"), ("e", "evidence", "coalesce(payload_inline, '')")):
+        ctes.append(rf"""{v}1 AS (SELECT id, state, list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda x: octet_length(encode(x)) > 1) AS w FROM {v}), {v}2 AS (SELECT * FROM {v}1 WHERE len(w) > 0),
+{v}3 AS (SELECT count(*) AS n, greatest(sum(len(w)) / count(*), 1) AS avgdl FROM {v}2), {v}4 AS (SELECT id, state, len(w) AS dl, q, len(list_filter(w, lambda x: x = q)) AS tf FROM (SELECT *, unnest({words!r}) AS q FROM {v}2)),
+{v}5 AS (SELECT q, count(*) FILTER (tf > 0) AS df FROM {v}4 GROUP BY q),
+{v}6 AS (SELECT id, state, sum(CASE WHEN tf > 0 THEN ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END) AS score FROM {v}4 JOIN {v}5 USING (q), {v}3 GROUP BY ALL HAVING max(tf) > 0 ORDER BY score DESC, id LIMIT {4 * top})""")
+        parts.append(f"SELECT id, '{kind}' AS kind, score FROM {v}6 WHERE state = 'active'")
+    return f"WITH {_VIEWS}, {', '.join(ctes)} SELECT id, kind, round(score, 6) AS score FROM ({' UNION ALL '.join(parts)}) s ORDER BY s.score DESC, kind, id LIMIT {top}"
+
+
 def oracle_sql() -> dict[str, str]:
     out = {k: _with(s) for k, (_, s) in _LANGUAGE.items() if s}
     past = _PAST.format(join="WHERE v.seq <= 150")
@@ -274,6 +310,10 @@ def oracle_sql() -> dict[str, str]:
         "history_space": "SELECT seq, element, version, op FROM (SELECT seq, element, max(version) AS version, max(lower(trim(op))) AS op FROM element_versions WHERE space = 'main-desk' AND seq BETWEEN 5 AND 400 GROUP BY ALL) ORDER BY seq, element LIMIT 200 OFFSET 50",
         "as_of_query": f"WITH {when} SELECT element AS c_id, name AS c_name FROM (SELECT DISTINCT element, json_extract_string(r, '$.name') AS name, json_extract_string(r, '$.state') AS state FROM l JOIN m USING (space, element, seq) WHERE op <> 'purge' AND r IS NOT NULL) WHERE element LIKE 'C-%' AND state = 'active'",
         "bp_query": f"WITH RECURSIVE {_VIEWS}, {_SCORES} SELECT id AS p_id, status AS b_status, round(support, 6) AS b_support_score FROM bs WHERE support > 0.5",
+        "kip_search": _search_sql(["marine", "services", "depends", "on", "thermostat"], 40),
+        "list_types": _with("SELECT name, count(*) AS n FROM (SELECT split_part(schema_ref, '/', -1) AS name FROM c WHERE schema_ref IS NOT NULL) GROUP BY name UNION ALL SELECT name, count(*) FROM (SELECT split_part(predicate_ref, '/', -1) AS name FROM p WHERE predicate_ref IS NOT NULL) GROUP BY name"),
+        "list_spaces": _with("SELECT space AS name, count(*) AS n FROM (SELECT space FROM c UNION ALL SELECT space FROM p UNION ALL SELECT space FROM a UNION ALL SELECT space FROM e UNION ALL SELECT space FROM x) WHERE space IS NOT NULL GROUP BY space"),
+        "authorized": _with("SELECT id AS c_id, space AS c_space_id FROM c WHERE state IN ('active', 'archived', 'merged') AND (space IN ('main-desk', 'field-ops') OR state = 'active' AND type = 'Topic') AND coalesce(merged_into, '') = ''"),
         "search_elements": _with(
             r"""w AS (SELECT id, state, type, list_filter(regexp_split_to_array(lower(concat_ws(chr(10), name, array_to_string(aliases, chr(10)))), '[^\p{L}\p{N}]+'), lambda x: octet_length(encode(x)) > 1) AS w FROM c), k AS (SELECT * FROM w WHERE len(w) > 0),
 s AS (SELECT count(*) AS n, greatest(sum(len(w)) / count(*), 1) AS avgdl FROM k), t AS (SELECT id, state, type, len(w) AS dl, q, len(list_filter(w, lambda x: x = q)) AS tf FROM (SELECT *, unnest(['marine', 'services', 'paper']) AS q FROM k)),

@@ -125,6 +125,16 @@ there AS (SELECT 'C-' || _id AS k FROM concepts WHERE coalesce(state, '') <> 'pu
 o AS (SELECT source_table, source_field, source_id, target_id, period FROM r WHERE length(target_id) > 0 AND NOT EXISTS (SELECT 1 FROM there WHERE k = target_id))
 """
 
+_SNAPSHOTS = f"""{_ORPHANS.split("there AS")[0].rstrip().rstrip(",")},
+cut AS (SELECT (epoch_us(min(created_at)) + epoch_us(max(created_at))) // 2 AS at_ FROM activities),
+k AS (SELECT 'C-' || _id AS k, state, created_at FROM concepts UNION ALL SELECT 'P-' || _id, state, created_at FROM propositions UNION ALL SELECT 'A-' || _id, state, created_at FROM assertions UNION ALL SELECT 'E-' || _id, state, created_at FROM evidence UNION ALL SELECT 'X-' || _id, state, created_at FROM activities),
+lv AS (SELECT k, bool_or(epoch_us(created_at) < at_) AS early FROM k, cut WHERE coalesce(state, '') <> 'purged' GROUP BY k),
+rr AS (SELECT source_table, source_field, source_id, period, early, CASE WHEN target_id LIKE '{{%' THEN CASE WHEN json_extract_string(target_id, '$.space') IS NULL THEN coalesce(json_extract_string(target_id, '$.evidence_id'), json_extract_string(target_id, '$.id')) END ELSE target_id END AS target_id
+  FROM (SELECT *, strftime(created_at, '%Y-%m') AS period, coalesce(epoch_us(created_at) < at_, false) AS early FROM c, cut)),
+e AS (SELECT 1 AS epoch, source_table, source_field, source_id, target_id, min(period) AS period FROM rr WHERE early AND length(target_id) > 0 GROUP BY ALL UNION ALL SELECT 2, source_table, source_field, source_id, target_id, min(period) FROM rr WHERE length(target_id) > 0 GROUP BY ALL)
+SELECT source_table, source_field, period, count(*) FILTER (lv.k IS NULL OR epoch = 1 AND NOT coalesce(lv.early, false)) AS orphans, count(*) AS refs, epoch FROM e LEFT JOIN lv ON lv.k = e.target_id GROUP BY ALL
+"""
+
 _STATE = """
 WITH f AS (SELECT element, seq, lower(trim(op)) AS op, "row" FROM element_versions),
 s AS (SELECT element, max(seq) AS seq, max(seq) FILTER (op = 'create') AS born, max(seq) FILTER (op = 'purge') AS gone FROM f GROUP BY element),
@@ -141,6 +151,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_periods": f"{_GAPS}, n AS (SELECT k, s, e, sum(CASE WHEN s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM r) "
         "SELECT k AS proposition_id, nullif(min(s), -9223372036854775807) AS start_us, nullif(max(e), 9223372036854775807) AS end_us FROM n GROUP BY k, g",
         "p3_found": f"{_ORPHANS} SELECT * FROM o",
+        "p3_snapshots": _SNAPSHOTS,
         "p3_counts": f"{_ORPHANS} SELECT source_table, source_field, period, count(*) AS orphans FROM o GROUP BY ALL",
         "p5_found": f"{_STATE} SELECT * FROM cur",
         "p5_rows": f"""{_STATE} SELECT DISTINCT element, seq, json_extract_string(f."row", '$.state') AS state, json_extract_string(f."row", '$.name') AS name FROM cur JOIN f USING (element, seq)""",

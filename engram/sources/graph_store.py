@@ -210,7 +210,7 @@ class GraphStore:
         if met.filter("source = target or (old is not null and old <> '' and old <> target)").limit(1).count():
             raise CollectionError("MergeConflict")
         links = now.filter("merged_into is not null").select(F.col("id").alias("node"), F.col("merged_into").alias("parent")).unionByName(pairs.select(F.col("source").alias("node"), F.col("target").alias("parent")))
-        if hierarchy(links).filter(F.col("root") == CYCLE).limit(1).count():
+        if not hierarchy(links).filter(F.col("root") == CYCLE).join(pairs.select(F.col("source").alias("node")), "node", "left_semi").isEmpty():
             raise CollectionError("the merge would make a cycle")
         hit = now.join(pairs.select(F.col("source").alias("id"), F.col("target").alias("_t")), "id")
         return self._write("concepts", hit, {"merged_into": F.col("_t"), "state": F.lit("merged")})
