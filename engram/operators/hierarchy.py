@@ -6,8 +6,8 @@ with one edge each from entry to exit: the quotient forest, which is solved the
 same way until one bounded fragment holds it. Solutions are then expanded level
 by level. Leaves vanish in the first contraction, so the quotient holds inner
 nodes only; from then on a random-mate placement (a "tail" node joins the
-fragment of its "head" parent) makes sure that about a quarter of all edges is
-local whatever the shape, chains included.
+fragment of its "head" parent, by coins tossed anew at each level) makes sure that
+about a quarter of all edges is local whatever the shape, chains included.
 """
 
 from __future__ import annotations
@@ -72,24 +72,37 @@ def _fragments(edges: DataFrame, with_path: bool, size: int) -> DataFrame:
     return edges.mapInPandas(run, schema)
 
 
-def _placed(edges: DataFrame, count: int, size: int) -> DataFrame:
-    """Spread the quotient over fragments of about ``size`` nodes by random mate.
+def _placed(edges: DataFrame, count: int, size: int, with_path: bool, level: int) -> DataFrame:
+    """Spread the quotient over fragments of about ``size`` nodes by random mate, with other coins at each level.
 
-    A hot parent (more children than a tenth of a fragment) attracts nobody:
-    its children stay spread by their own key.
+    The children of a hot parent (more of them than a tenth of a fragment) don't gather
+    with it: they are led past it to its own parent instead. There are fewer than
+    10 * count / size hot parents, so their edges are broadcast.
     """
-    parts = -(-count // size)
-    hot = edges.groupBy("parent").count().filter(F.col("count") > max(1, size // 10)).select(F.col("parent"), F.lit(True).alias("hot"))
-    head = lambda c: F.xxhash64(F.lit("coin"), c) % 2 == 0
-    joins_parent = ~head(F.col("node")) & head(F.col("parent")) & F.col("hot").isNull()
-    home = F.when(joins_parent, F.col("parent")).otherwise(F.col("node"))
-    return edges.join(hot, "parent", "left").withColumn("home", home).repartition(parts, "home").drop("home", "hot")
+    parts = -(-2 * count // size)
+    hot = edges.groupBy("parent").count().filter(F.col("count") > max(1, size // 10)).select(F.col("parent").alias("node"))
+    hubs = edges.join(hot, "node", "left_semi").select(F.col("node").alias("parent"), F.col("parent").alias("_to"), F.col("steps").alias("_more"), F.col("looped").alias("_looped"), *([F.col("path").alias("_rest")] if with_path else []))
+    past = edges.join(F.broadcast(hubs), "parent", "left")
+    led = F.col("_to").isNotNull() & ~F.col("looped") & (F.col("parent") != F.col("node"))
+    columns = [
+        "node",
+        F.when(led, F.col("_to")).otherwise(F.col("parent")).alias("parent"),
+        F.when(led, F.col("steps") + F.col("_more")).otherwise(F.col("steps")).alias("steps"),
+        (F.col("looped") | led & F.col("_looped")).alias("looped"),
+    ]
+    if with_path:
+        columns.append(F.when(led, F.concat("path", "_rest")).otherwise(F.col("path")).alias("path"))
+    past = past.select(*columns)
+    head = lambda c: F.xxhash64(F.lit("coin"), F.lit(level), c) % 2 == 0
+    home = F.when(~head(F.col("node")) & head(F.col("parent")), F.col("parent")).otherwise(F.col("node"))
+    return past.withColumn("home", home).repartition(parts, F.lit(level), "home").drop("home")
 
 
 def _solve(edges: DataFrame, size: int, with_path: bool, level: int) -> DataFrame:
     """(node, parent=root, steps=depth, looped[, path]) for edges placed in partitions."""
     cut = materialize(_fragments(edges, with_path, size), f"forest{level}")
-    entries = cut.select(F.col("parent").alias("node")).distinct()
+    # what a looped node points to is of no more interest
+    entries = cut.filter(~F.col("looped")).select(F.col("parent").alias("node")).distinct()
     quotient = cut.join(entries, "node", "left_semi")
     if level:
         quotient = materialize(quotient, f"quotient{level}")
@@ -99,7 +112,7 @@ def _solve(edges: DataFrame, size: int, with_path: bool, level: int) -> DataFram
     if count <= size:
         solved = _fragments(quotient.coalesce(1), with_path, count + 1)
     else:
-        solved = _solve(_placed(quotient, count, size), size, with_path, level + 1)
+        solved = _solve(_placed(quotient, count, size, with_path, level), size, with_path, level + 1)
     above = solved.select(F.col("node").alias("parent"), F.col("parent").alias("root"), F.col("steps").alias("more"), F.col("looped").alias("endless"), *([F.col("path").alias("rest")] if with_path else []))
     joined = cut.join(above, "parent", "left")
     looped = F.col("looped") | F.coalesce("endless", F.lit(False))

@@ -32,7 +32,9 @@ def shapes():
     wild = {f"n{i}": f"n{rng.randrange(250)}" for i in range(220)}
     late = {f"n{i}": f"n{rng.randrange(i)}" for i in range(1, 260)}
     loops = {"a": "a", "b": "c", "c": "b", "d": "b", "e": "f"}
-    return {"chain": chain, "star": star, "wild": wild, "late": late, "loops": loops}
+    # more nodes on cycles than a fragment holds, and trees below them
+    rings = {f"r{i}": f"r{i - 2 if i % 3 == 2 else i + 1}" for i in range(150)} | {f"t{i}": f"r{i}" if i < 40 else f"t{i - 40}" for i in range(100)}
+    return {"chain": chain, "star": star, "wild": wild, "late": late, "loops": loops, "rings": rings}
 
 
 @pytest.mark.parametrize("name", shapes())
