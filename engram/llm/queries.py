@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,5 +76,19 @@ def queries() -> dict:
     return {f.__name__: f for f in (p4_found, p4_entities, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_texts)}
 
 
+def _form_sql(text: str) -> str:
+    """A text in one form: joined forms spelled out, wide and look-alike letters as Latin ones, blanks as one, invisible characters gone, composed."""
+    pairs = [(a, b) for source, target in lookalikes.LOOKALIKES.values() for a, b in zip(source, target)]
+    pairs += [(chr(c + 0xFEE0), chr(c)) for c in range(0x21, 0x7F)] + [(c, " ") for c in "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"]
+    for c in lookalikes._JOINED:
+        text = f"replace({text}, '{c}', '{unicodedata.normalize('NFKC', c)}')"
+    quoted = lambda chars: "'" + "".join(chars).replace("'", "''") + "'"
+    text = f"translate({text}, {quoted(a for a, _ in pairs)}, {quoted(b for _, b in pairs)})"
+    return rf"nfc_normalize(regexp_replace({text}, '[\x{{AD}}\x{{34F}}\x{{61C}}\x{{180B}}-\x{{180F}}\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{206F}}\x{{FE00}}-\x{{FE0F}}\x{{FEFF}}]', '', 'g'))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    form = _form_sql("text")
+    return {
+        "p9_found": f"WITH f AS (SELECT DISTINCT doc_id, text, {form} AS form FROM documents WHERE text IS NOT NULL) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+    }
