@@ -243,9 +243,12 @@ def segment_join(df: DataFrame, text: str, within: list[str], k: int = 1, hot: i
 
     index, probe = spread(rows(df), cuts), spread(rows(df if queries is None else queries), shifts)
     keys = [*within, "seg", "len", "piece"]
-    crowded = index.groupBy(*keys).count().filter(F.col("count") > hot).select(*keys, F.lit(True).alias("crowded"))
+    crowded = materialize(index.groupBy(*keys).count().filter(F.col("count") > hot).select(*keys, F.lit(True).alias("crowded")), "crowded")
+    none = crowded.isEmpty()
 
     def keyed(side: DataFrame, mark: str) -> DataFrame:
+        if none:
+            return side.select(*keys, F.lit("").alias("rest"), F.col("s").alias("text" + mark), *[F.col(c).alias(c + mark) for c in carry])
         both = side.join(crowded, keys, "left")
         # what is left of the string when the segment is taken out
         rest = F.concat(F.substring(F.col("s"), F.lit(1), F.col("at")), F.lit("|"), F.substring(F.col("s"), F.col("at") + F.length("piece") + 1, n))
