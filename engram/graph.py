@@ -201,7 +201,7 @@ def search_elements(spark: SparkSession, d: str) -> DataFrame:
     return found.join(kept, "id", "left_semi").orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
-def kip_search(spark: SparkSession, d: str) -> DataFrame:
+def search_kinds(spark: SparkSession, d: str) -> DataFrame:
     """The words in concepts, propositions and evidence of all spaces, merged by score."""
     found = meta.search(StoreView(spark, d), "marine services depends_on thermostat", limit=40)
     return found.select("id", "kind", F.round("score", 6).alias("score"))
@@ -227,7 +227,7 @@ def authorized(spark: SparkSession, d: str) -> DataFrame:
     return run(view, 'FIND(?c.id, ?c.space_id) WHERE { ?c CONCEPT {state: ["active", "archived", "merged"]} }')
 
 
-_PLAIN = (search_elements, kip_search, list_types, list_spaces, authorized, as_of_query, as_of_seq, as_of_time, history_element, history_space, changes, visible_changes, transaction_lookup, bp_eligibility, bp_score, bp_classify, bp_slot, bp_slot_query, bp_uncertainty, row_visibility, field_mask, counts, referrers, merge_resolve, capsule_closure)
+_PLAIN = (search_elements, search_kinds, list_types, list_spaces, authorized, as_of_query, as_of_seq, as_of_time, history_element, history_space, changes, visible_changes, transaction_lookup, bp_eligibility, bp_score, bp_classify, bp_slot, bp_slot_query, bp_uncertainty, row_visibility, field_mask, counts, referrers, merge_resolve, capsule_closure)
 
 
 def queries() -> dict:
@@ -310,7 +310,7 @@ def oracle_sql() -> dict[str, str]:
         "history_space": "SELECT seq, element, version, op FROM (SELECT seq, element, max(version) AS version, max(lower(trim(op))) AS op FROM element_versions WHERE space = 'main-desk' AND seq BETWEEN 5 AND 400 GROUP BY ALL) ORDER BY seq, element LIMIT 200 OFFSET 50",
         "as_of_query": f"WITH {when} SELECT element AS c_id, name AS c_name FROM (SELECT DISTINCT element, json_extract_string(r, '$.name') AS name, json_extract_string(r, '$.state') AS state FROM l JOIN m USING (space, element, seq) WHERE op <> 'purge' AND r IS NOT NULL) WHERE element LIKE 'C-%' AND state = 'active'",
         "bp_query": f"WITH RECURSIVE {_VIEWS}, {_SCORES} SELECT id AS p_id, status AS b_status, round(support, 6) AS b_support_score FROM bs WHERE support > 0.5",
-        "kip_search": _search_sql(["marine", "services", "depends", "on", "thermostat"], 40),
+        "search_kinds": _search_sql(["marine", "services", "depends", "on", "thermostat"], 40),
         "list_types": _with("SELECT name, count(*) AS n FROM (SELECT split_part(schema_ref, '/', -1) AS name FROM c WHERE schema_ref IS NOT NULL) GROUP BY name UNION ALL SELECT name, count(*) FROM (SELECT split_part(predicate_ref, '/', -1) AS name FROM p WHERE predicate_ref IS NOT NULL) GROUP BY name"),
         "list_spaces": _with("SELECT space AS name, count(*) AS n FROM (SELECT space FROM c UNION ALL SELECT space FROM p UNION ALL SELECT space FROM a UNION ALL SELECT space FROM e UNION ALL SELECT space FROM x) WHERE space IS NOT NULL GROUP BY space"),
         "authorized": _with("SELECT id AS c_id, space AS c_space_id FROM c WHERE state IN ('active', 'archived', 'merged') AND (space IN ('main-desk', 'field-ops') OR state = 'active' AND type = 'Topic') AND coalesce(merged_into, '') = ''"),

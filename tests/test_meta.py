@@ -13,10 +13,10 @@ from engram.sources.collection import CollectionError
 from engram.sources.graph_store import GraphStore
 
 SETUP = """MUTATE {
-  CREATE CONCEPT ?ann { TYPE "kip/people/Person" NAME "Ann Tea" SET FIELDS {key: "ann", canonical_id: "urn:ann"} SET FACET "Mood" {level: 1} SET STRUCTURAL { ("friends", ?bob) } }
-  CREATE CONCEPT ?bob { TYPE "kip/people/Person" NAME "Bob" }
-  CREATE CONCEPT ?tea { TYPE "kip/things/Drink" NAME "green tea" }
-  ENSURE PROPOSITION ?p (?ann, "kip/things/likes", ?tea)
+  CREATE CONCEPT ?ann { TYPE "pkg/people/Person" NAME "Ann Tea" SET FIELDS {key: "ann", canonical_id: "urn:ann"} SET FACET "Mood" {level: 1} SET STRUCTURAL { ("friends", ?bob) } }
+  CREATE CONCEPT ?bob { TYPE "pkg/people/Person" NAME "Bob" }
+  CREATE CONCEPT ?tea { TYPE "pkg/things/Drink" NAME "green tea" }
+  ENSURE PROPOSITION ?p (?ann, "pkg/things/likes", ?tea)
   CREATE EVIDENCE ?e { SET FIELDS { evidence_class: "note", payload: "tea was drunk, tea was good" } }
   CREATE ASSERTION ?a { SET FIELDS { proposition: ?p, asserted_by: ?ann, stance: "uncertain", mode: "stated" } SET STRUCTURAL { ("evidence", ?e) } }
 }"""
@@ -42,10 +42,10 @@ def test_search_lists_and_descriptions(session):
     with pytest.raises(QueryError):
         meta.search(s.view, "tea", mode="semantic")
     listed = {t: {(r.name, r.n) for r in meta.list_(s.view, t).collect()} for t in ("SPACES", "SCHEMA_PACKAGES", "TYPES", "PREDICATES", "FACETS")}
-    assert listed == {"SPACES": {("one", 6)}, "SCHEMA_PACKAGES": {("kip/people", 2), ("kip/things", 2)}, "TYPES": {("Person", 2), ("Drink", 1)}, "PREDICATES": {("likes", 1)}, "FACETS": {("Mood", 1)}}
+    assert listed == {"SPACES": {("one", 6)}, "SCHEMA_PACKAGES": {("pkg/people", 2), ("pkg/things", 2)}, "TYPES": {("Person", 2), ("Drink", 1)}, "PREDICATES": {("likes", 1)}, "FACETS": {("Mood", 1)}}
     assert ("friends", 1) in {tuple(r) for r in meta.list_(s.view, "STRUCTURAL_FIELDS").collect()} and meta.list_(s.view, "EPISTEMIC_POLICIES", limit=1, offset=1).count() == 1
     assert {tuple(r) for r in meta.counts(s.view).collect()} == {("concept", 3), ("proposition", 1), ("assertion", 1), ("evidence", 1), ("activity", 0)}
-    assert meta.describe(s.view, "SPACE", "one")["elements"]["concept/active"] == 3 and meta.describe(s.view, "TYPE", "Drink")["symbols"] == {"kip/things/Drink": 1}
+    assert meta.describe(s.view, "SPACE", "one")["elements"]["concept/active"] == 3 and meta.describe(s.view, "TYPE", "Drink")["symbols"] == {"pkg/things/Drink": 1}
     assert meta.describe(s.view, "POLICY")["accept"] == 0.7 and "name" in meta.describe(s.view, "KIND", "CONCEPT")["paths"] and meta.describe(s.view, "PROTOCOL")["kinds"] and meta.describe(s.view, "CAPABILITIES")["missing_stages"]
     for bad in (("TYPE", "Ship"), ("POLICY", "strict"), ("NOTHING", None)):
         with pytest.raises(QueryError):
