@@ -264,3 +264,17 @@ def test_text_index(spark, tmp_path):
     same()
     with pytest.raises(bm25.TextQueryError):
         index.boolean("NOT alpha", most_complement=10)
+
+
+def test_several_indexes(spark):
+    rows = [(1, "red fox", "quick", [1.0, 0.0], [0.0, 0.0, 1.0]), (2, "blue fox", "slow", [0.0, 1.0], [0.0, 1.0, 0.0]), (3, "none", "quick fox", None, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "_id long, text string, more string, v2 array<double>, v3 array<double>")
+    score = lambda *ranks: sum(1 / (60 + r) for r in ranks)
+    found = {r._id: r.score for r in hybrid.search(df, text="quick fox", text_column=("text", "more")).collect()}
+    # of each text a list of its own: 1 and 2 stand in the first, 3 and 1 in the second
+    assert found == {1: pytest.approx(score(0, 1)), 2: pytest.approx(score(1)), 3: pytest.approx(score(0))}
+    columns = {"v2": 2, "v3": 3}
+    assert [r._id for r in hybrid.search(df, vector=[0.0, 1.0], vector_column=columns, limit=1).collect()] == [2]
+    assert {r._id for r in hybrid.search(df, text="red", vector=[1.0] * 5, vector_column=columns).collect()} == {1}
+    with pytest.raises(ValueError):
+        hybrid.search(df, vector=[1.0] * 5, vector_column=columns)
