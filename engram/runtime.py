@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "engram") -> SparkSession:
@@ -82,5 +83,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FILTER_WORDS = 1 << 17
+
+
+def maybe_among(ids: DataFrame) -> Column:
+    """False only where ``_id`` is none of the ids (_id): it keeps whole rows out of a shuffle, the join or count behind it decides.
+
+    One bit for each hash value in 1 MB, whatever the number of ids; with very many of
+    them it lets most rows through, but never holds one back.
+    """
+    place = F.pmod(F.xxhash64("_id"), F.lit(FILTER_WORDS * 64))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    some = ids.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
+    zeros = ids.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = some.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    dense = words.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).getField("bits"))
+    return F.getbit(F.get(dense.scalar(), word.cast("int")), bit) == 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,9 +153,9 @@ class VersionedTable:
 
     def current(self, upto: int | None = None) -> DataFrame:
         """The live rows: of each id the greatest version, without deleted ones."""
-        log = self.log(upto)
-        last = log.groupBy("_id").agg(F.max_by(F.struct(*log.columns), F.struct("_seq", "_version")).alias("r")).select("r.*")
-        return last.filter("not _deleted").drop("_deleted", "_seq")
+        # a window, as readers of a few columns then shuffle only those; a struct of all would keep them all
+        newest = Window.partitionBy("_id").orderBy(F.desc("_seq"), F.desc("_version"))
+        return self.log(upto).withColumn("_place", F.row_number().over(newest)).filter("_place = 1 and not _deleted").drop("_deleted", "_seq", "_place")
 
     def stage(self, rows: DataFrame, seq: int) -> str | None:
         """Write rows for a commit; the folder, or null if there are none."""

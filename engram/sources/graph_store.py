@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.sources.collection import CollectionError, CommitLog, VersionedTable, commit_all, numbered
-from engram.runtime import materialize
-from engram.sources.store import LETTERS, key_of
+from engram.runtime import materialize, maybe_among
+from engram.sources.store import LETTERS, id_of, key_of
 
 COMMON = "space string, state string"
 KINDS = {
@@ -54,10 +54,12 @@ class GraphStore:
         return rows.withColumn("id", key_of(kind))
 
     def load(self, kind: str, rows: DataFrame) -> int | None:
-        """Take over records with their ids, as version 1."""
+        """Take over records with their ids, as version 1; of an id given again one record. The rows are read more than once, so they must be the same each time."""
         names = [f.name for f in self.tables[kind].schema if f.name not in ("_version", "_deleted")]
-        own = rows.dropDuplicates(["_id"])
-        return self._append(kind, own.select(*[(F.col(n) if n in own.columns else F.lit(None)).alias(n) for n in names]).withColumn("_version", F.lit(1)))
+        own = rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).alias(n) for n in names])
+        again = maybe_among(own.groupBy("_id").count().filter("count > 1"))
+        own = own.filter(~again).unionByName(own.filter(again).dropDuplicates(["_id"]))  # few rows are shuffled whole
+        return self._append(kind, own.withColumn("_version", F.lit(1)))
 
     def _append(self, kind: str, rows: DataFrame) -> int | None:
         rows = rows if "_deleted" in rows.columns else rows.withColumn("_deleted", F.lit(False))
@@ -178,15 +180,15 @@ class GraphStore:
         return self._linked("evidence", pairs, "corrected_by", "corrects", "corrected")
 
     def _linked(self, kind: str, pairs: DataFrame, forward: str, back: str, status: str) -> int | None:
-        pairs = pairs.select("old", "new").dropna().distinct()
-        if pairs.filter("old = new").limit(1).count():
+        pairs = materialize(pairs.select("old", "new").dropna().distinct(), "pairs")
+        if not pairs.filter("old = new").isEmpty():
             raise CollectionError("an element can't replace itself")
-        olds = pairs.groupBy(F.col("old").alias("id")).agg(F.collect_set("new").alias("_f"))
-        news = pairs.groupBy(F.col("new").alias("id")).agg(F.collect_set("old").alias("_b"))
-        hit = self.read(kind).join(olds, "id", "left").join(news, "id", "left").filter("_f is not null or _b is not null")
+        named = pairs.select(F.col("old").alias("key"), F.col("new").alias("_f"), F.lit(None).cast("string").alias("_b")).unionByName(pairs.select(F.col("new").alias("key"), F.lit(None).cast("string").alias("_f"), F.col("old").alias("_b")))
+        touched = named.withColumn("_id", id_of(kind, "key")).filter("_id is not null").groupBy("_id").agg(F.collect_set("_f").alias("_f"), F.collect_set("_b").alias("_b"))
+        hit = self.read(kind).filter(maybe_among(touched)).join(touched, "_id")  # by _id, as the rows are shuffled by it already
         none = F.array().cast("array<string>")
-        join = lambda c, extra: F.when(F.col(extra).isNotNull(), F.array_sort(F.array_union(F.coalesce(c, none), extra))).otherwise(F.col(c))
-        return self._write(kind, hit, {forward: join(forward, "_f"), back: join(back, "_b"), "status": F.when(F.col("_f").isNotNull(), status).otherwise(F.col("status"))})
+        join = lambda c, extra: F.when(F.size(extra) > 0, F.array_sort(F.array_union(F.coalesce(c, none), extra))).otherwise(F.col(c))
+        return self._write(kind, hit, {forward: join(forward, "_f"), back: join(back, "_b"), "status": F.when(F.size("_f") > 0, status).otherwise(F.col("status"))})
 
     def transition_activity(self, where: Column, status: str, ended_at: Column, outputs: list[str] | None = None) -> int | None:
         """Terminal activities don't change any more; outputs and end are frozen with the transition."""

@@ -16,6 +16,12 @@ def key_of(name: str, id_column: str | Column = "_id") -> Column:
     return F.concat(F.lit(LETTERS[name] + "-"), c.cast("string"))
 
 
+def id_of(name: str, key_column: str) -> Column:
+    """The _id that a key of this table names, null if it is another's or no key."""
+    id_ = F.substring(key_column, len(LETTERS[name]) + 2, 20).try_cast("bigint")
+    return F.when(key_of(name, id_) == F.col(key_column), id_)
+
+
 def present(c: Column) -> Column:
     """Null for what stands for unset: null or an empty string."""
     return F.when(F.length(c) > 0, c)

@@ -49,12 +49,11 @@ def kml_update_limit(spark: SparkSession, d: str) -> DataFrame:
 def named_pairs(assertions: DataFrame) -> DataFrame:
     """(old, new) of supersessions that either assertion of the two names, whatever its status; both there and no purged stubs."""
     own = live(assertions)
-    up = own.select(F.col("id").alias("old"), F.explode("superseded_by").alias("new"))
-    down = own.select(F.explode("supersedes").alias("old"), F.col("id").alias("new"))
-    pairs = up.unionByName(down).filter("old <> new").distinct()
-    for side in ("old", "new"):
-        pairs = pairs.join(own.select(F.col("id").alias(side)), side, "left_semi")
-    return pairs.select("old", "new")
+    sides = F.array(F.struct(F.lit(True).alias("up"), F.col("superseded_by").alias("keys")), F.struct(F.lit(False).alias("up"), F.col("supersedes").alias("keys")))
+    # one pass over the lists for both directions; the record that names is there, so only the named one is looked up
+    naming = own.filter("size(superseded_by) > 0 or size(supersedes) > 0").select(F.col("id").alias("me"), F.inline(sides)).select("me", "up", F.explode("keys").alias("id"))
+    met = naming.filter("me <> id").join(own.select("id"), "id", "left_semi")
+    return met.select(F.when(F.col("up"), F.col("me")).otherwise(F.col("id")).alias("old"), F.when(F.col("up"), F.col("id")).otherwise(F.col("me")).alias("new")).distinct()
 
 
 def kml_supersede(spark: SparkSession, d: str) -> DataFrame:

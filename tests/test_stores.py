@@ -94,6 +94,32 @@ def test_updates_and_supersessions_reach_the_whole_table(spark, tmp_path):
     assert {(r.old, r.new) for r in named_pairs(df).collect()} == {("A-1", "A-2"), ("A-4", "A-3")}
 
 
+def _shuffle_files(spark) -> dict:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_few_links_in_a_wide_table_shuffle_few_rows(spark, tmp_path):
+    wide = F.array(*[F.sha2(F.concat(F.lit(f"{i}-"), F.col("id").cast("string")), 256) for i in range(20)])
+    rows = spark.range(8000).select(F.col("id").alias("_id"), F.lit("active").alias("state"), F.lit("active").alias("status"), wide.alias("evidence_refs"))
+    rows.unionByName(rows.filter("_id < 9")).unionByName(rows.filter("_id < 3")).write.parquet(f"file://{tmp_path}/rows")  # ids given two and three times
+    before = _shuffle_files(spark)
+    g = GraphStore(spark, f"file://{tmp_path}/g")
+    g.load("assertions", spark.read.parquet(f"file://{tmp_path}/rows"))
+    pairs = [("A-1", "A-2"), ("A-1", "A-3"), ("A-7999", "A-1"), ("A-5", "A-8000"), ("A-06", "A-7"), ("P-8", "A-9"), ("A- 10", "A-9"), ("x", None)]
+    assert g.supersede(spark.createDataFrame(pairs, "old string, new string")) == 2
+    written = sum(n for f, n in _shuffle_files(spark).items() if f not in before)
+    assert written < 8000 * 20 * 64 / 2, f"{written} bytes shuffled"  # less than half of the wide column once
+    now = g.read("assertions")
+    assert now.count() == now.select("_id").distinct().count() == 8000 and now.filter("size(evidence_refs) <> 20").isEmpty()
+    # a key that isn't written as the store writes it names nothing
+    hit = {r._id: (r.status, r.superseded_by, r.supersedes) for r in now.filter("_version = 2").select("_id", "status", "superseded_by", "supersedes").collect()}
+    assert hit == {1: ("superseded", ["A-2", "A-3"], ["A-7999"]), 2: ("active", None, ["A-1"]), 3: ("active", None, ["A-1"]), 5: ("superseded", ["A-8000"], None), 7: ("active", None, ["A-06"]), 9: ("active", None, ["A- 10", "P-8"]), 7999: ("superseded", ["A-1"], None)}
+    with pytest.raises(CollectionError):
+        g.supersede(spark.createDataFrame([("A-1", "A-1")], "old string, new string"))
+    assert g.supersede(spark.createDataFrame([("A-77777", "A-88888")], "old string, new string")) is None
+
+
 def test_a_purge_leaves_nothing_behind(spark, tmp_path):
     g = GraphStore(spark, f"file://{tmp_path}/g")
     g.create("concepts", spark.createDataFrame([("s", "T", "a", "Secret"), ("s", "T", "b", "B")], "space string, schema_ref string, key string, name string").coalesce(1))
